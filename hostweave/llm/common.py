@@ -55,12 +55,16 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
-def semi(df: DataFrame, keys: DataFrame, on: str, null_safe: bool = False, bound: int = BROADCAST_KEYS) -> DataFrame:
-    """Rows of df whose key is in keys (one column, distinct): broadcast where the count is within the bound, else shuffled."""
+def semi(df: DataFrame, keys: DataFrame, on: str, null_safe: bool = False, how: str = "left_semi", bound: int = BROADCAST_KEYS) -> DataFrame:
+    """Rows of df whose key is in keys (one column, distinct), or with left_anti the others: broadcast where the count is within the bound, else shuffled."""
     keys = keys.select(F.col(on).alias("_semi_key"))
-    small = F.broadcast(keys) if keys.limit(bound + 1).count() <= bound else keys
     same = F.col(on).eqNullSafe(F.col("_semi_key")) if null_safe else F.col(on) == F.col("_semi_key")
-    return df.join(small, same, "left_semi")
+    return df.join(within(keys, bound), same, how)
+
+
+def within(small: DataFrame, bound: int = BROADCAST_KEYS) -> DataFrame:
+    """The table marked for broadcast where it has no more rows than the bound."""
+    return F.broadcast(small) if small.limit(bound + 1).count() <= bound else small
 
 
 def small_batches(spark: SparkSession) -> None:

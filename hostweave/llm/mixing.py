@@ -17,6 +17,10 @@ BROADCAST_SOURCES = 100_000
 EPSILON = 1e-9
 
 
+def words(text: str) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, ceiling: float = 2.0) -> DataFrame:
     """Per source: rank, source_size, units, target.
 
@@ -102,8 +106,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
     hashes of the ids, so reruns and other partitionings agree. An empty table gives an empty result.
     """
     ws = Workspace(docs.sparkSession, "mixing")
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sizes = ws.put(docs.select("doc_id", "source", size.alias("size")), "sizes")
+    sizes = ws.put(docs.select("doc_id", "source", words("text").alias("size")), "sizes")
     targets = ws.put(source_targets(sizes, weights, share, ceiling), "targets")
     stats = targets.agg(F.count("*").alias("n"), F.max("units").alias("most")).first()
     by_source = (lambda t: F.broadcast(t)) if stats["n"] <= BROADCAST_SOURCES else (lambda t: t)

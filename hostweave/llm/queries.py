@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hostweave.llm import exact_dedup, mixing, parity_join
+from hostweave.llm import exact_dedup, langid, mixing, parity_join, pieces
 from hostweave.llm.common import table
 
 
@@ -14,6 +14,14 @@ def op2_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.jaccard_components(table(spark, sf_dir, "documents"), shingle=4, threshold=(85, 100))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("bucket")
 
@@ -22,5 +30,5 @@ def op9_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_parity_join, op8_exact_dedup, op9_pivotal_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_parity_join, op3_sentencepiece, op6_language_id, op8_exact_dedup, op9_pivotal_mixing)}
 ORACLES: dict[str, str] = {"op8_exact_dedup": exact_dedup.ORACLE}
