@@ -15,6 +15,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: ASCII other than letters and digits.
+PUNCTUATION = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -53,11 +55,11 @@ def utf8_chunks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]
         at = to
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z, and the place in them at which each text begins (one more entry than texts)."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words (bytes that aren't in `space`, by default `[^\\x20\\x09-\\x0D]+`) after lower-casing A-Z, and the place in them at which each text begins (one more entry than texts)."""
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    inside = ~SPACE[data]
+    inside = ~space[data]
     first = np.zeros(len(data) + 1, dtype=bool)  # a text's first byte begins a word even without white space before
     first[offsets[:-1]] = True
     before = np.empty(len(data), dtype=bool)

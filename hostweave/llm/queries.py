@@ -5,9 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hostweave.llm import exact_dedup, langid, mixing, parity_join, pieces
-from hostweave.llm.common import table
+from hostweave.llm import chroma, compaction, exact_dedup, langid, mixing, parity_join, pieces, pii, secrets, toxicity
+from hostweave.llm.common import Workspace, table
+
+
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards documents and reads them back: doc_id, n_chars, text_sha256, listed (the row's file is in the last manifest)."""
+    docs = table(spark, sf_dir, "documents")
+    ws = Workspace(spark, "sharding")
+    rows = compaction.shard(docs, f"{ws.root}/store")
+    return rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"), F.col("shard").isNotNull().alias("listed"))
 
 
 def op2_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,10 +27,23 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"))
 
 
+def op4_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table has recordings, so the UTF-8 bytes of each whole text are taken as unsigned 8-bit samples."""
+    return chroma.align(table(spark, sf_dir, "documents"), F.encode("text", "UTF-8"), chroma.SHORT)
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("bucket")
 
@@ -30,5 +52,11 @@ def op9_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_parity_join, op3_sentencepiece, op6_language_id, op8_exact_dedup, op9_pivotal_mixing)}
-ORACLES: dict[str, str] = {"op8_exact_dedup": exact_dedup.ORACLE}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_sharding, op2_parity_join, op3_sentencepiece, op4_chroma, op5_pii, op6_language_id, op7_secrets, op8_exact_dedup, op9_pivotal_mixing, op10_toxicity)
+}
+ORACLES: dict[str, str] = {"op1_sharding": compaction.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE}
