@@ -15,5 +15,6 @@ def sessions_of(events: DataFrame, gap: int, watermark: int | None = None) -> Da
     rows = events.withColumn("ts", F.timestamp_seconds("time"))
     if events.isStreaming:
         rows = rows.withWatermark("ts", f"{watermark or gap} seconds")
-    out = rows.groupBy(F.session_window("ts", f"{gap} seconds")).agg(F.count("*").alias("events"), F.min("time").alias("start"), F.max("time").alias("end"))
+    # a stream's session windows need a key beside the window; all events have the same one
+    out = rows.withColumn("_all", F.col("time") * 0).groupBy("_all", F.session_window("ts", f"{gap} seconds")).agg(F.count("*").alias("events"), F.min("time").alias("start"), F.max("time").alias("end"))
     return out.select("start", "end", "events")
