@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +21,7 @@ MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 #: A character without a piece costs this much more than the worst piece (then its bytes are emitted).
 UNKNOWN_PENALTY = 10.0
 #: Segments that a worker remembers before it forgets them all.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 #: Runs of spaces go with the word that follows, as pieces have the marker in front only. New lines and marker characters stand alone.
 SEGMENT = re.compile(rf" *[^ \n{MARK}]+|\n|{MARK}| +")
 
@@ -84,16 +85,16 @@ class Vocabulary:
         self.memory: dict[str, bytes] = {}
 
     def byte_fallback(self, raw: bytes) -> list[int]:
-        return [self.byte_ids[b] for b in raw]
+        return [self.byte_ids[b] for b in raw.replace(MARK.encode(), b" ")]
 
-    def learn(self, segments: list[str]) -> None:
+    def learn(self, segments: Iterable[str]) -> None:
         """Viterbi over many segments at once: one step for each start byte and piece length."""
         segments = sorted(segments, key=len)
         for a in range(0, len(segments), 4096):
             self._learn(segments[a : a + 4096])
 
     def _learn(self, segments: list[str]) -> None:
-        raw = [s.encode() for s in segments]
+        raw = [s.replace(" ", MARK).encode() for s in segments]
         n, lengths = len(raw), np.array([len(x) for x in raw])
         longest = int(lengths.max())
         if n > 1 and n * longest > 1 << 22:  # long segments: fewer at once
@@ -131,30 +132,41 @@ class Vocabulary:
                 better = score > best[r, to]
                 r, to = r[better], to[better]
                 best[r, to], back[r, to], piece[r, to] = score[better], i, -1
-        for i, s in enumerate(segments):
-            ids, at = [], len(raw[i])
+        for s, x, since, ids in zip(segments, raw, back.tolist(), piece.tolist(), strict=True):
+            at, found = len(x), []
             while at:
-                since = int(back[i, at])
-                ids.append([int(piece[i, at])] if piece[i, at] >= 0 else self.byte_fallback(raw[i][since:at]))
-                at = since
-            self.memory[s] = np.array([x for part in reversed(ids) for x in part], dtype=np.int32).tobytes()
-
-    def encode(self, text: str) -> np.ndarray:
-        segments = SEGMENT.findall(text)
+                if ids[at] >= 0:
+                    found.append(ids[at])
+                else:
+                    found += reversed(self.byte_fallback(x[since[at] : at]))
+                at = since[at]
+            found.reverse()
+            self.memory[s] = array("i", found).tobytes()
+
+    def encode_many(self, texts: Iterable[str], together: int = 1 << 20) -> Iterator[np.ndarray]:
+        """Ids of each text; new segments of about `together` characters of texts are segmented in one go."""
+        waiting, size = [], 0
+        for text in texts:
+            waiting.append(SEGMENT.findall(text))
+            size += len(text)
+            if size >= together:
+                yield from self._flush(waiting)
+                waiting, size = [], 0
+        yield from self._flush(waiting)
+
+    def _flush(self, waiting: list[list[str]]) -> Iterator[np.ndarray]:
         memory = self.memory
-        try:
-            return np.frombuffer(b"".join(map(memory.__getitem__, segments)), np.int32)
-        except KeyError:
-            pass
-        if len(memory) > REMEMBERED:
+        every = set().union(*waiting)
+        if len(memory) + len(every) > REMEMBERED:
             memory.clear()
-        memory[MARK] = np.array(self.byte_fallback(MARK.encode()), dtype=np.int32).tobytes()
-        unseen = {s for s in segments if s not in memory}
-        self.learn(sorted(x.replace(" ", MARK) for x in unseen))
-        for s in unseen:
-            if " " in s:
-                memory[s] = memory.pop(s.replace(" ", MARK))
-        return np.frombuffer(b"".join(map(memory.__getitem__, segments)), np.int32)
+        # the marker character itself isn't a space
+        memory[MARK] = array("i", [self.byte_ids[b] for b in MARK.encode()]).tobytes()
+        self.learn(every.difference(memory))
+        for segments in waiting:
+            yield np.frombuffer(b"".join(map(memory.__getitem__, segments)), np.int32)
+
+    def encode(self, text: str) -> np.ndarray:
+        return next(self.encode_many([text]))
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.pieces.__getitem__, ids.tolist())).decode()
@@ -185,11 +197,9 @@ def _encode(vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary.value
         for batch in batches:
-            ids, whole = [], []
-            for text in batch.column(1).to_pylist():
-                x = v.encode(text or "")
-                ids.append(x)
-                whole.append(v.decode(x) == (text or ""))
+            texts = [x or "" for x in batch.column(1).to_pylist()]
+            ids = list(v.encode_many(texts))
+            whole = [v.decode(x) == text for x, text in zip(ids, texts, strict=True)]
             offsets = np.zeros(len(ids) + 1, dtype=np.int32)
             np.cumsum([len(x) for x in ids], out=offsets[1:])
             values = np.concatenate(ids) if ids else np.zeros(0, np.int32)
