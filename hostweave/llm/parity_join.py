@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hostweave.llm import kernels as K
@@ -115,6 +115,71 @@ def verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, threshold: t
     return near.where(common * q >= (F.col("n_u") + F.col("n_v") - common) * p).select("u", "v")
 
 
+def _with_hubs(buckets: DataFrame) -> DataFrame:
+    """(key, cid) with each bucket's hub: the class that shares most buckets with most classes, then the smallest. That is a text which others were copied from rather than one of its copies."""
+    sizes = buckets.groupBy("key").agg(F.count("*").alias("n"))
+    degrees = buckets.join(sizes, "key").groupBy("cid").agg(F.sum("n").alias("degree"))
+    hubs = buckets.join(degrees, "cid").groupBy("key").agg(F.min(F.struct(-F.col("degree"), F.col("cid").alias("cid")))["cid"].alias("hub"))
+    return buckets.join(hubs, "key")
+
+
+def across_components(leaves: DataFrame, classes: DataFrame, sets: DataFrame, threshold: tuple[int, int], ws: Workspace) -> tuple[DataFrame, DataFrame]:
+    """leaves: (hub, cid, root), the classes of buckets that lie in several components. Returns links, and candidate pairs, that together join all components that any link within a hub's leaves joins.
+
+    Let D be a leaf's symmetric difference with its hub and E = (q + p) |D| - (q - p) n, with n its size. Of two leaves,
+    |x xor y| = |Dx| + |Dy| - 2 |Dx and Dy|, so they link just when Ex + Ey <= 2 (q + p) |Dx and Dy|.
+    Where Ex + Ey <= 0 they link whatever D holds. All such leaves link with the leaf of the smallest E, so those links do.
+    Else Dx and Dy have at least t = (Ex + Ey) / 2 (q + p) members in common, and so the |D| - t + 1 members of each that
+    are rarest among the hub's leaves have one. Edits of a copy are rare members, so near copies of one text that aren't
+    similar enough to each other hardly ever meet here, however many they are.
+    Members are classed to know Ey better: the hub's component in four classes by E, all else in one. Pairs within the
+    hub's component aren't looked for.
+    """
+    p, q = threshold
+    known = ws.put(classes.select("cid", F.col("n_shingles").alias("n")).join(sets, "cid"), "known")
+    hubs = leaves.where("cid = hub").select("hub", F.col("root").alias("hub_root"))
+    hubs = hubs.join(known.withColumnsRenamed({"cid": "hub", "n": "n_hub", "members": "center"}), "hub")
+    mine = leaves.join(known, "cid").join(hubs, "hub")
+    mine = mine.withColumn("d", F.concat(F.array_except("members", "center"), F.array_except("center", "members"))).drop("members", "center")
+    mine = mine.withColumn("e", ((q + p) * F.size("d") - (q - p) * F.col("n")).cast("long"))
+    reach = (q - p) * F.col("n_hub")
+    own_class = F.least(F.greatest(F.floor(F.col("e") * 2 / reach).cast("int") + 2, F.lit(0)), F.lit(3)) + 1
+    mine = mine.withColumn("class", F.when(F.col("root") == F.col("hub_root"), own_class).otherwise(0))
+    mine = ws.put(mine.select("hub", "cid", "root", "n", "e", "class", "d"), "differences")
+
+    least = mine.groupBy("hub").agg(F.min(F.struct("e", "cid")).alias("first"), *[F.min(F.when(F.col("class") == k, F.col("e"))).alias(f"e{k}") for k in range(5)])
+    least = ws.put(least, "least")
+    joined = mine.drop("d").join(least.select("hub", "first"), "hub")
+    near = joined.where((F.col("e") + F.col("first.e") <= 0) & (F.col("cid") != F.col("first.cid"))).select(F.col("first.cid").alias("u"), F.col("cid").alias("v"))
+
+    with_least = mine.join(least.drop("first"), "hub")
+
+    def prefix(k: int) -> Column:
+        """How many of its rarest members a leaf must show to partners whose smallest e is that of class k; none if there are no partners."""
+        t = F.greatest(F.ceil((F.col("e") + F.col(f"e{k}")) / (2 * (q + p))), F.lit(1))
+        return F.coalesce(F.greatest(F.size("d") - t + 1, F.lit(0)), F.lit(0)).cast("int")
+
+    shown = F.when(F.col("class") == 0, F.array(*[prefix(k) for k in range(5)])).otherwise(F.array(prefix(0)))
+    mine = with_least.withColumn("shown", shown).where(F.array_max("shown") > 0)
+    each = mine.select("hub", "cid", "shown", F.explode("d").alias("member"))
+    often = each.groupBy("hub", "member").agg(F.count("*").alias("often")).where("often > 1")
+    # a member that one leaf alone has comes first in that leaf's order, and meets nothing
+    spread = each.join(often, ["hub", "member"])
+    unique = mine.select("hub", "cid", F.size("d").alias("size"))
+    spread = spread.join(unique, ["hub", "cid"]).withColumn("common", F.count("*").over(Window.partitionBy("hub", "cid")))
+    spread = spread.withColumn("place", F.col("size") - F.col("common") + F.row_number().over(Window.partitionBy("hub", "cid").orderBy("often", "member")))
+    spread = spread.where(F.col("place") <= F.array_max("shown")).select("hub", "cid", "member", "place")
+    about = mine.select("hub", "cid", "root", "n", "e", "class", F.size("d").alias("d"), "shown")
+    spread = ws.put(spread.join(about, ["hub", "cid"]), "spread")
+    columns = ("cid", "root", "n", "e", "class", "d", "shown", "place")
+    x, y = (spread.where(c).select("hub", "member", *[F.col(k).alias(f"{k}_{side}") for k in columns]) for side, c in (("x", "class = 0"), ("y", "true")))
+    possible = (F.col("root_x") != F.col("root_y")) & (F.col("e_x") + F.col("e_y") <= 2 * (q + p) * F.least("d_x", "d_y")) & (q * F.least("n_x", "n_y") >= p * F.greatest("n_x", "n_y"))
+    # class 0 shows as much to each class as that class's smallest e asks for, the others show what class 0 asks for
+    shows = (F.col("place_x") <= F.get("shown_x", F.col("class_y"))) & (F.col("place_y") <= F.col("shown_y")[0]) & ((F.col("class_y") > 0) | (F.col("cid_x") < F.col("cid_y")))
+    pairs = x.join(y, ["hub", "member"]).where(possible & shows)
+    return ws.put(near, "near"), pairs.select(F.least("cid_x", "cid_y").alias("u"), F.greatest("cid_x", "cid_y").alias("v")).distinct()
+
+
 def jaccard_components(docs: DataFrame, shingle: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included), class_size (documents of the same shingle set).
 
@@ -126,8 +191,8 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, threshold: tuple[int,
     hashes of shingles.
 
     Documents of one set are one class. Classes that share a key are candidates. In each key's bucket every class is
-    first compared with the bucket's smallest class only. All pairs of a bucket matter only where that leaves it in two
-    components or more, and only pairs across components; so a large group of copies or near copies makes no pairs.
+    first compared with the bucket's hub only. Pairs matter only where that leaves a bucket in two components
+    or more, and only across components; see across_components, so that a large group of near copies makes few pairs.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -140,7 +205,7 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, threshold: tuple[int,
     bucket = Window.partitionBy("key")
     keyed = some.select("cid", F.explode("keys").alias("key"))
     shared = keyed.withColumn("low", F.min("cid").over(bucket)).withColumn("high", F.max("cid").over(bucket)).where("low != high")
-    shared = ws.put(shared.select("key", "cid", "low").distinct(), "shared")
+    shared = ws.put(_with_hubs(ws.put(shared.select("key", "cid").distinct(), "buckets")), "shared")
     involved = ws.put(shared.select("cid").distinct(), "involved")
     # the sets of classes that are in any bucket, from one document of each class
     readers = ws.put(signed.where("n_shingles > 0").join(involved, "cid", "left_semi").select("cid", "doc_id"), "readers")
@@ -148,17 +213,17 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, threshold: tuple[int,
     sets = texts.select("text").mapInArrow(_sets(shingle), "cid long, members array<long>").where(F.size("members") > 0)
     sets = ws.put(sets.groupBy("cid").agg(F.first("members").alias("members")), "sets")
 
-    stars = ws.put(shared.where("cid != low").select(F.col("low").alias("u"), F.col("cid").alias("v")).distinct(), "stars")
+    stars = ws.put(shared.where("cid != hub").select(F.least("hub", "cid").alias("u"), F.greatest("hub", "cid").alias("v")).distinct(), "stars")
     links = ws.put(verified(stars, classes, sets, threshold), "links")
     roots = components(links, ws, "near")
-    placed = shared.join(roots, shared["cid"] == roots["id"], "left").select("key", "cid", F.coalesce("root", "cid").alias("root"))
+    placed = shared.join(roots, shared["cid"] == roots["id"], "left").select("key", "hub", "cid", F.coalesce("root", "cid").alias("root"))
     split = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("key")
-    placed = ws.put(placed.join(split, "key", "left_semi"), "placed")
-    left, right = placed.select("key", F.col("cid").alias("u"), F.col("root").alias("ru")), placed.select("key", F.col("cid").alias("v"), F.col("root").alias("rv"))
-    across = left.join(right, "key").where("ru < rv").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    leaves = ws.put(placed.join(split, "key", "left_semi").select("hub", "cid", "root").distinct(), "leaves")
+    near, across = across_components(leaves, classes, sets, threshold, ws)
+    across = ws.put(across, "across")
     more = ws.put(verified(across.join(stars, ["u", "v"], "left_anti"), classes, sets, threshold), "more")
-    # every candidate pair across components has now been compared, so these links complete the graph
-    roots = components(links.unionByName(more), ws, "all")
+    # every pair across components that could be a link has now been compared, so these links complete the graph
+    roots = components(links.unionByName(more).unionByName(near), ws, "all")
     members = classes.join(roots, classes["cid"] == roots["id"], "left").select("cid", "least", "class_size", F.coalesce("root", "cid").alias("root"))
     smallest = members.groupBy("root").agg(F.min("least").alias("component_id"))
     members = members.join(smallest, "root").select("cid", "class_size", "component_id")
