@@ -136,7 +136,11 @@ def across_components(leaves: DataFrame, classes: DataFrame, sets: DataFrame, th
     hub's component aren't looked for.
     """
     p, q = threshold
-    known = ws.put(classes.select("cid", F.col("n_shingles").alias("n")).join(sets, "cid"), "known")
+    # a hub was compared with each of its leaves; only hubs with two leaves or more have other pairs
+    several = leaves.groupBy("hub").agg(F.count("*").alias("_n")).where("_n > 2").select("hub")
+    leaves = ws.put(leaves.join(several, "hub", "left_semi"), "several")
+    involved = leaves.select("cid").distinct()
+    known = ws.put(classes.select("cid", F.col("n_shingles").alias("n")).join(involved, "cid", "left_semi").join(sets, "cid"), "known")
     hubs = leaves.where("cid = hub").select("hub", F.col("root").alias("hub_root"))
     hubs = hubs.join(known.withColumnsRenamed({"cid": "hub", "n": "n_hub", "members": "center"}), "hub")
     mine = leaves.join(known, "cid").join(hubs, "hub")
@@ -147,6 +151,7 @@ def across_components(leaves: DataFrame, classes: DataFrame, sets: DataFrame, th
     mine = mine.withColumn("class", F.when(F.col("root") == F.col("hub_root"), own_class).otherwise(0))
     mine = ws.put(mine.select("hub", "cid", "root", "n", "e", "class", "d"), "differences")
 
+    ws.release()
     least = mine.groupBy("hub").agg(F.min(F.struct("e", "cid")).alias("first"), *[F.min(F.when(F.col("class") == k, F.col("e"))).alias(f"e{k}") for k in range(5)])
     least = ws.put(least, "least")
     joined = mine.drop("d").join(least.select("hub", "first"), "hub")
@@ -161,14 +166,12 @@ def across_components(leaves: DataFrame, classes: DataFrame, sets: DataFrame, th
 
     shown = F.when(F.col("class") == 0, F.array(*[prefix(k) for k in range(5)])).otherwise(F.array(prefix(0)))
     mine = with_least.withColumn("shown", shown).where(F.array_max("shown") > 0)
-    each = mine.select("hub", "cid", "shown", F.explode("d").alias("member"))
-    often = each.groupBy("hub", "member").agg(F.count("*").alias("often")).where("often > 1")
-    # a member that one leaf alone has comes first in that leaf's order, and meets nothing
-    spread = each.join(often, ["hub", "member"])
-    unique = mine.select("hub", "cid", F.size("d").alias("size"))
-    spread = spread.join(unique, ["hub", "cid"]).withColumn("common", F.count("*").over(Window.partitionBy("hub", "cid")))
-    spread = spread.withColumn("place", F.col("size") - F.col("common") + F.row_number().over(Window.partitionBy("hub", "cid").orderBy("often", "member")))
-    spread = spread.where(F.col("place") <= F.array_max("shown")).select("hub", "cid", "member", "place")
+    each = mine.select("hub", "cid", F.size("d").alias("size"), F.array_max("shown").alias("most"), F.explode("d").alias("member"))
+    each = each.withColumn("often", F.count("*").over(Window.partitionBy("hub", "member"))).where("often > 1")
+    # members that one leaf alone has come first in that leaf's order, and meet nothing
+    own = Window.partitionBy("hub", "cid")
+    spread = each.withColumn("place", F.col("size") - F.count("*").over(own) + F.row_number().over(own.orderBy("often", "member")))
+    spread = spread.where("place <= most").select("hub", "cid", "member", "place")
     about = mine.select("hub", "cid", "root", "n", "e", "class", F.size("d").alias("d"), "shown")
     spread = ws.put(spread.join(about, ["hub", "cid"]), "spread")
     columns = ("cid", "root", "n", "e", "class", "d", "shown", "place")
@@ -213,8 +216,10 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, threshold: tuple[int,
     sets = texts.select("text").mapInArrow(_sets(shingle), "cid long, members array<long>").where(F.size("members") > 0)
     sets = ws.put(sets.groupBy("cid").agg(F.first("members").alias("members")), "sets")
 
+    ws.release()
     stars = ws.put(shared.where("cid != hub").select(F.least("hub", "cid").alias("u"), F.greatest("hub", "cid").alias("v")).distinct(), "stars")
     links = ws.put(verified(stars, classes, sets, threshold), "links")
+    ws.release()
     roots = components(links, ws, "near")
     placed = shared.join(roots, shared["cid"] == roots["id"], "left").select("key", "hub", "cid", F.coalesce("root", "cid").alias("root"))
     split = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("key")
