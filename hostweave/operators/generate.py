@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hostweave.functions.hashrng import race, u
 from hostweave.operators.sampling import bootstrap, weighted_draws
 from hostweave.schema import DAY, HOUR, MALICIOUS
+from hostweave.sources.shared import cut
 
 #: Attempts per campaign asked for, and candidate start times per campaign.
 MAX_ATTEMPTS, START_DRAWS = 10, 64
@@ -55,12 +56,13 @@ def generate(edges: DataFrame, nodes: DataFrame, user_host: DataFrame, breadth:
         raise ValueError(f"no foothold has out-degree >= {min_out_degree}")
     if naive:
         alpha, beta, credential_bonus = 0.0, 0.0, 1.0
-    footholds = pick_footholds(attempts(spark, tries or MAX_ATTEMPTS * n), pool, seed)
-    creds = harvest(footholds, user_host, max_creds, seed).persist()
+    footholds = cut(pick_footholds(attempts(spark, tries or MAX_ATTEMPTS * n), pool, seed), "footholds")
+    creds = cut(harvest(footholds, user_host, max_creds, seed), "creds")
     used = creds if naive else restrict(creds, breadth, seed)
     valid = used.select("attempt").distinct().withColumn("campaign_id", F.row_number().over(Window.orderBy("attempt")) - 1).where(F.col("campaign_id") < n)
-    used = used.join(F.broadcast(valid), "attempt").persist()
-    sizes = bootstrap(footholds.join(F.broadcast(valid), "attempt"), breadth.select("idx", "breadth"), seed, "breadth", "attempt")
+    used = cut(used.join(F.broadcast(valid), "attempt"), "used")
+    valid = used.select("attempt", "campaign_id").distinct()
+    sizes = bootstrap(footholds.join(valid, "attempt"), breadth.select("idx", "breadth"), seed, "breadth", "attempt")
     sizes = sizes.withColumn("capped", F.col("breadth") > F.col("out_degree")).withColumn("k", F.least("breadth", "out_degree"))
 
     known = used.join(user_host.select("user", F.col("computer").alias("dst_computer")).distinct(), "user").select("attempt", "dst_computer", "user")

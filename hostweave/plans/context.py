@@ -12,6 +12,7 @@ from hostweave.functions.hashrng import sql_race, sql_u
 from hostweave.operators import aggregates, features, generate, graph, profile, redteam
 from hostweave.schema import EVENT_KEY, FitWindow
 from hostweave.sources import logs
+from hostweave.sources.shared import cut
 
 CONFIG = logs.Config()
 FIT = FitWindow(CONFIG.t_hi)
@@ -60,7 +61,7 @@ class Context:
 
     @cached_property
     def split(self) -> DataFrame:
-        return kept(redteam.freeze_split(self.campaigns, CONFIG.fit_fraction))
+        return cut(redteam.freeze_split(self.campaigns, CONFIG.fit_fraction), "split")
 
     @cached_property
     def fit_campaigns(self) -> DataFrame:
@@ -87,7 +88,7 @@ class Context:
 
     def synth(self, naive: bool = False) -> DataFrame:
         if naive not in self._synth:
-            self._synth[naive] = kept(self._generate(naive))
+            self._synth[naive] = cut(self._generate(naive), "campaigns")
         return self._synth[naive]
 
     def _generate(self, naive: bool) -> DataFrame:
@@ -102,7 +103,7 @@ class Context:
 
     @cached_property
     def starts(self) -> DataFrame:
-        return kept(generate.start_times(self.synth(), self.hourly, CONFIG.collection_seconds, SEED))
+        return cut(generate.start_times(self.synth(), self.hourly, CONFIG.collection_seconds, SEED), "starts")
 
     @cached_property
     def synth_rows(self) -> DataFrame:

@@ -15,6 +15,7 @@ from hostweave.operators import aggregates, features, generate, graph, metrics,
 from hostweave.operators.model import train_and_eval
 from hostweave.schema import AUTH_COLS, UNBOUNDED, FitWindow
 from hostweave.sources import logs
+from hostweave.sources.shared import cut
 
 COLUMNS = features.STRUCTURAL + features.ATTRIBUTE
 
@@ -45,7 +46,7 @@ def build_context(spark: SparkSession, auth: DataFrame, red: DataFrame, config:
     nodes = graph.with_servers(graph.node_degrees(edges), config.server_in_degree_percentile, config.server_min_in_out_ratio).persist()
     user_host = aggregates.user_host_counts(auth, window).persist()
     matched = redteam.recover_redteam(auth, red).persist()
-    split = redteam.freeze_split(redteam.hop_index(redteam.sessionize(matched, config.campaign_gap_seconds)), config.fit_fraction).persist()
+    split = cut(redteam.freeze_split(redteam.hop_index(redteam.sessionize(matched, config.campaign_gap_seconds)), config.fit_fraction), "split")
     hard = redteam.hard_negatives(auth, red, red, (0, config.t_hi), (config.t_hi + 1, config.collection_seconds))
     sides = {"fit": (0, config.t_hi), "holdout": (config.t_hi + 1, config.collection_seconds)}
     negatives = {s: sampling.benign_sample(auth, *w, benign, red, config.seed).select(*AUTH_COLS).unionByName(hard.where(F.col("side") == s).select(*AUTH_COLS)) for s, w in sides.items()}
@@ -60,7 +61,7 @@ def build_context(spark: SparkSession, auth: DataFrame, red: DataFrame, config:
 def synthetic(s: Setting, fit_rows: DataFrame, n: int, seed: int, naive: bool = False) -> DataFrame:
     """Log rows of n campaigns generated from the given fit rows only."""
     c = s.config
-    made = generate.generate(s.edges, s.nodes, s.user_host, profile.breadth_and_creds(fit_rows), profile.inter_event_dt(fit_rows), n, alpha=c.alpha, beta=c.beta, credential_bonus=c.credential_bonus, min_out_degree=c.min_foothold_out_degree, max_creds=c.max_harvested_creds, seed=seed, naive=naive).persist()
+    made = cut(generate.generate(s.edges, s.nodes, s.user_host, profile.breadth_and_creds(fit_rows), profile.inter_event_dt(fit_rows), n, alpha=c.alpha, beta=c.beta, credential_bonus=c.credential_bonus, min_out_degree=c.min_foothold_out_degree, max_creds=c.max_harvested_creds, seed=seed, naive=naive), "campaigns")
     return generate.as_rows(generate.place(made, generate.start_times(made, s.hourly, c.collection_seconds, seed)))
 
 
