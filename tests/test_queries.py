@@ -8,7 +8,7 @@ import pytest
 from hostweave.plans import registry
 
 SF = "/root/testdata/sf0.01"
-NAMES = ["scan_auth", "edge_counts", "user_host_counts", "marginals", "is_server", "recover_redteam", "hard_negatives", "freeze_split", "host_users", "conditional_attributes", "build_features", "rarity_baseline", "pr_curve", "weighted_choice_wo_replacement", "generate_campaigns", "naive_mode", "ks_2samp", "scalar_functions"]
+NAMES = ["scan_auth", "edge_counts", "user_host_counts", "marginals", "is_server", "recover_redteam", "hard_negatives", "freeze_split", "host_users", "conditional_attributes", "build_features", "rarity_baseline", "pr_curve", "weighted_choice_wo_replacement", "generate_campaigns", "naive_mode", "max_jaccard", "v1_report", "ks_2samp", "scalar_functions"]
 
 
 def rows_of(values, digits=6):
