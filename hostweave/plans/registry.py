@@ -114,7 +114,8 @@ def project_rename(c):
 
 @query(f"SELECT {K4}, count(*) AS n FROM auth GROUP BY ALL HAVING count(*) > 1 OR min(event_id) % 10 = 0")
 def pair_keys(c):
-    return c.auth.groupBy(*EVENT_KEY).agg(F.count("*").alias("n"), F.min("event_id").alias("_e")).where((F.col("n") > 1) | (F.col("_e") % 10 == 0)).drop("_e")
+    """Every key with its count. The twin still leaves out most keys that occur once."""
+    return c.auth.groupBy(*EVENT_KEY).agg(F.count("*").alias("n"))
 
 
 # --- joins -----------------------------------------------------------------------------------------------------------
