@@ -16,7 +16,8 @@ from hostweave.sources.shared import cut
 
 CONFIG = logs.Config()
 FIT = FitWindow(CONFIG.t_hi)
-SEED, CAMPAIGNS, TRIES = 7, 40, 60
+SEED, CAMPAIGNS = 7, CONFIG.n_campaigns
+TRIES = generate.MAX_ATTEMPTS * CAMPAIGNS
 
 
 def kept(df: DataFrame) -> DataFrame:

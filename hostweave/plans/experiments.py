@@ -77,7 +77,7 @@ def scarcity_point(s: Setting, k: int, seed: int, params: dict | None = None) ->
     fit = s.split.where("side = 'fit'")
     drawn = fit.join(F.broadcast(sampling.draw_campaigns(fit, k, seed)), "campaign_id", "left_semi")
     real = s.features_of(drawn.select(*AUTH_COLS), 1).persist()
-    made = s.features_of(synthetic(s, drawn, s.config.n_campaigns, seed * 1000 + k).select(*AUTH_COLS), 1).persist()
+    made = s.features_of(synthetic(s, drawn, s.config.campaigns_per_point, seed * 1000 + k).select(*AUTH_COLS), 1).persist()
     return {"k": k, "seed": seed, "real": _score(s, [real], seed, params=params).auc_pr, "augmented": _score(s, [real, made], seed, params=params).auc_pr}
 
 
@@ -107,7 +107,7 @@ def baselines(s: Setting, seed: int, params: dict | None = None) -> dict[str, fl
     """Real only, tuned and naive synthetic alone (tested on real), both added to real, and rarity alone."""
     fit = s.split.where("side = 'fit'")
     real = s.features_of(fit.select(*AUTH_COLS), 1).persist()
-    made = {n: s.features_of(synthetic(s, fit, s.config.n_campaigns, seed, naive=n == "naive").select(*AUTH_COLS), 1).persist() for n in ("tuned", "naive")}
+    made = {n: s.features_of(synthetic(s, fit, s.config.campaigns_per_point, seed, naive=n == "naive").select(*AUTH_COLS), 1).persist() for n in ("tuned", "naive")}
     out = {"real": _score(s, [real], seed, params=params).auc_pr}
     for n, m in made.items():
         out |= {f"{n}_only": _score(s, [m], seed, params=params).auc_pr, f"{n}_augmented": _score(s, [real, m], seed, params=params).auc_pr}

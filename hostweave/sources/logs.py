@@ -94,13 +94,14 @@ class Config:
     beta: float = 1.0
     credential_bonus: float = 2.0
     min_foothold_out_degree: int = 25
-    max_harvested_creds: int = 30
-    n_campaigns: int = 200
+    max_harvested_creds: int = 60
+    n_campaigns: int = 10_000
+    campaigns_per_point: int = 1000
     t_hi: int = 21 * DAY
     collection_seconds: int = 30 * DAY
     base_rates: list[float] = field(default_factory=lambda: [0.01, 0.001])
     k_values: list[int] = field(default_factory=lambda: [1, 2, 4, 8, 13])
-    n_seeds: int = 3
+    n_seeds: int = 5
     gbt: dict = field(default_factory=lambda: {"maxDepth": 3, "maxIter": 100, "stepSize": 0.1, "subsamplingRate": 0.8, "minInstancesPerNode": 5})
 
     @classmethod

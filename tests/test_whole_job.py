@@ -14,3 +14,10 @@ def test_pair_keys_returns_every_key(spark):
     got = registry.QUERIES["pair_keys"](spark, SF)
     assert got.count() == auth.select(*EVENT_KEY).distinct().count()
     assert got.agg(F.sum("n")).first()[0] == auth.count()
+
+
+def test_generator_makes_the_reference_number_of_campaigns(spark):
+    config = logs.Config()
+    assert (config.n_campaigns, config.campaigns_per_point, config.max_harvested_creds, config.n_seeds) == (10_000, 1000, 60, 5)
+    assert registry.QUERIES["generate_campaigns"](spark, SF).select("campaign_id").distinct().count() == config.n_campaigns
+    spark.catalog.clearCache()
