@@ -95,13 +95,9 @@ def corpus_stats(campaigns: DataFrame) -> DataFrame:
     return per.agg(n.alias("n"), tried.alias("attempts"), ((tried - n) / tried).alias("discard_rate"), F.avg(F.col("capped").cast("double")).alias("cap_rate"))
 
 
-def start_times(campaigns: DataFrame, hourly: DataFrame, collection_seconds: int, seed: int) -> DataFrame:
-    """(campaign_id, start): day uniform, hour by volume, second uniform; the first of START_DRAWS draws that ends in time.
-
-    ValueError where a campaign has none, as when it is longer than the collection.
-    """
-    spans = campaigns.groupBy("campaign_id").agg(F.max("dt_offset").alias("longest"))
-    draws = spans.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(START_DRAWS - 1))))
+def _starts(spans: DataFrame, hourly: DataFrame, collection_seconds: int, seed: int, low: int, high: int) -> DataFrame:
+    """(campaign_id, start) of the first draw from low up to high that ends in time."""
+    draws = spans.withColumn("draw", F.explode(F.sequence(F.lit(low), F.lit(high - 1))))
     draws = weighted_draws(draws, hourly, "cnt", "hour", seed, "hour", "campaign_id", "draw")
     days = F.greatest(F.floor(F.greatest(F.lit(collection_seconds) - F.col("longest"), F.lit(DAY)) / DAY), F.lit(1))
     start = F.floor(u(seed, "day", "campaign_id", "draw") * days) * DAY + F.col("hour") * HOUR + F.floor(u(seed, "second", "campaign_id", "draw") * HOUR)
@@ -109,6 +105,23 @@ def start_times(campaigns: DataFrame, hourly: DataFrame, collection_seconds: int
     return good.groupBy("campaign_id").agg(F.min_by("start", "draw").alias("start"))
 
 
+def start_times(campaigns: DataFrame, hourly: DataFrame, collection_seconds: int, seed: int) -> DataFrame:
+    """(campaign_id, start): day uniform, hour by volume, second uniform; the first draw that ends in time.
+
+    START_DRAWS draws for each, then twice as many again and again for those that could still fit. A campaign has no row
+    only where it ends too late even from the first second of the earliest hour; place() raises on it.
+    """
+    spans = cut(campaigns.groupBy("campaign_id").agg(F.max("dt_offset").alias("longest")), "spans")
+    found = cut(_starts(spans, hourly, collection_seconds, seed, 0, START_DRAWS), "drawn")
+    earliest = hourly.where("cnt > 0").agg(F.min("hour")).first()[0]
+    fit = spans.where(F.col("longest") + F.lit(earliest) * HOUR <= collection_seconds)
+    low = START_DRAWS
+    while not (left := fit.join(found, "campaign_id", "left_anti")).isEmpty():
+        found = cut(found.unionByName(_starts(left, hourly, collection_seconds, seed, low, 3 * low)), "drawn")
+        low *= 3
+    return found
+
+
 def place(campaigns: DataFrame, starts: DataFrame) -> DataFrame:
     placed = campaigns.join(F.broadcast(starts), "campaign_id", "left")
     if not placed.where("start IS NULL").isEmpty():

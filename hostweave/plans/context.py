@@ -104,11 +104,11 @@ class Context:
 
     @cached_property
     def starts(self) -> DataFrame:
-        return cut(generate.start_times(self.synth(), self.hourly, CONFIG.collection_seconds, SEED), "starts")
+        return generate.start_times(self.synth(), self.hourly, CONFIG.collection_seconds, SEED)
 
     @cached_property
     def synth_rows(self) -> DataFrame:
-        return kept(generate.as_rows(self.synth().join(self.starts, "campaign_id").withColumn("time", F.col("start") + F.col("dt_offset"))))
+        return kept(generate.as_rows(generate.place(self.synth(), self.starts)))
 
 
 T = CONFIG.t_hi

@@ -1,8 +1,10 @@
 """Queries that once returned or did a part of their job only."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from hostweave.plans import registry
+from hostweave.operators import generate
+from hostweave.plans import context, registry
 from hostweave.schema import EVENT_KEY
 from hostweave.sources import logs
 
@@ -21,3 +23,20 @@ def test_generator_makes_the_reference_number_of_campaigns(spark):
     assert (config.n_campaigns, config.campaigns_per_point, config.max_harvested_creds, config.n_seeds) == (10_000, 1000, 60, 5)
     assert registry.QUERIES["generate_campaigns"](spark, SF).select("campaign_id").distinct().count() == config.n_campaigns
     spark.catalog.clearCache()
+
+
+def test_campaigns_that_hardly_fit_are_drawn_again_and_impossible_ones_raise(spark):
+    hourly = spark.createDataFrame([(0, 1), (12, 200)], "hour long, cnt long")
+    made = lambda longest: spark.createDataFrame([(i, longest) for i in range(30)], "campaign_id long, dt_offset long")
+    month = 30 * 86400
+    found = generate.start_times(made(month - 3600), hourly, month, 1)  # only hour 0 of day 0 will do
+    assert found.count() == 30 and found.agg(F.max("start")).first()[0] <= 3600
+    assert generate.start_times(made(month + 1), hourly, month, 1).count() == 0
+
+
+def test_synth_rows_loses_no_campaign(spark):
+    c = context.Context(spark, SF)
+    c.__dict__["starts"] = spark.createDataFrame([(0, 5)], "campaign_id int, start long")
+    c._synth[False] = spark.createDataFrame([(0, 0, 7, "u", "a", "b"), (1, 0, 7, "u", "a", "b")], "campaign_id int, hop_index int, dt_offset long, user string, src_computer string, dst_computer string")
+    with pytest.raises(ValueError):
+        c.synth_rows  # noqa: B018
