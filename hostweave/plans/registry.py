@@ -743,11 +743,11 @@ def provenance_assert(c):
 
 @query(None)
 def gbt_detector(c):
-    """Scores of a short boosted model; MLlib's trees have no DuckDB twin."""
+    """Scores of a boosted model; MLlib's trees have no DuckDB twin."""
     from hostweave.operators.model import train_and_eval
 
     rows = P.build_features(c.labelled, c.edges, c.nodes, c.user_host, keep=("event_id", "label"))
-    fitted = train_and_eval(rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1"), P.STRUCTURAL + P.ATTRIBUTE, params={"maxDepth": 3, "maxIter": 5}, seed=SEED)
+    fitted = train_and_eval(rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1"), P.STRUCTURAL + P.ATTRIBUTE, seed=SEED)
     return fitted.scored.select("event_id", "label", "score")
 
 
@@ -756,6 +756,6 @@ def logistic_detector(c):
     from hostweave.operators.model import train_and_eval
 
     rows = P.build_features(c.labelled, c.edges, c.nodes, c.user_host, keep=("event_id", "label"))
-    fitted = train_and_eval(rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1"), P.STRUCTURAL + P.ATTRIBUTE, model="logistic", params={"maxIter": 50})
+    fitted = train_and_eval(rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1"), P.STRUCTURAL + P.ATTRIBUTE, model="logistic")
     return fitted.scored.select("event_id", "label", "score")
 

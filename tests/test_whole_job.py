@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from hostweave.operators import generate
+from hostweave.operators import generate, model
 from hostweave.plans import context, registry
 from hostweave.schema import EVENT_KEY
 from hostweave.sources import logs
@@ -40,3 +40,12 @@ def test_synth_rows_loses_no_campaign(spark):
     c._synth[False] = spark.createDataFrame([(0, 0, 7, "u", "a", "b"), (1, 0, 7, "u", "a", "b")], "campaign_id int, hop_index int, dt_offset long, user string, src_computer string, dst_computer string")
     with pytest.raises(ValueError):
         c.synth_rows  # noqa: B018
+
+
+@pytest.mark.parametrize("name", ["gbt_detector", "logistic_detector"])
+def test_detectors_train_with_default_parameters(spark, monkeypatch, name):
+    given, real = [], model.train_and_eval
+    monkeypatch.setattr(model, "train_and_eval", lambda *a, **k: given.append(k.get("params")) or real(*a, **k))
+    assert registry.QUERIES[name](spark, SF).count() > 0
+    assert given == [None]
+    spark.catalog.clearCache()
