@@ -25,7 +25,7 @@ BASE = {
 WIDE = {
     "email": (r"(?i)[\[(]at[\])]", r"(?i)(?:(?<![a-z0-9._%+-])|\G)[a-z0-9._%+-]++\x20?[\[(]at[\])]\x20?[a-z0-9-]++(?:(?:\.|\x20?[\[(]dot[\])]\x20?)[a-z0-9-]++)++"),
     "ip": (r"[0-9a-fA-F]:[0-9a-fA-F]", r"(?<![0-9a-fA-F:])[0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{1,4}){7}(?![0-9a-fA-F:])"),
-    "card": (r"3[47]", r"(?<![0-9\x20-])3[47][0-9]{2}[\x20-]?[0-9]{6}[\x20-]?[0-9]{5}(?![\x20-]?[0-9])"),
+    "card": (r"3[47]", r"(?<![0-9])(?<![0-9][\x20-])3[47][0-9]{2}[\x20-]?[0-9]{6}[\x20-]?[0-9]{5}(?![\x20-]?[0-9])"),
     "phone": (r"[0-9]{3}[\x20.-][0-9]{4}", r"(?<![0-9+.()-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])"),
 }
 # Gazetteers and context words of the labelers.
@@ -103,7 +103,7 @@ def candidates(docs: DataFrame) -> DataFrame:
 
     def merged(kind: str) -> Column:
         base = F.col(f"b_{kind}")
-        apart = F.filter(f"w_{kind}", lambda w: ~F.exists(base, lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
+        apart = F.filter(f"w_{kind}", lambda w: ~F.exists(base, lambda b: b["strict"] & (b["start"] < w["end"]) & (w["start"] < b["end"])))
         return F.concat(base, apart).cast(f"array<{SPAN}>")
 
     rows = rows.select("doc_id", *[spans(k, False).alias(f"b_{k}") for k in KINDS], *[spans(k, True).alias(f"w_{k}") for k in KINDS])
@@ -180,7 +180,7 @@ def find_pii(docs: DataFrame, models: dict[str, SpanModel] | None = None, accept
     """One row per row of docs: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added.
 
     Base spans are the leftmost non-overlapping matches of each kind that pass its check; the counts and base_sha256 are
-    theirs. A match that fails its check is dropped. spans also has the wider forms, apart from any base match, whose
+    theirs. A match that fails its check is dropped, as is a 15-digit card that fails its digit sum. spans also has the wider forms, apart from any base span, whose
     probability by the trained classifier reaches `accept`; n_added counts those. A span is kind:start:end in code points,
     end exclusive, in the order of KINDS and then start. A null text is empty; without spans the strings are empty (and
     base_sha256 that of an empty string). Repeated rows get equal results, an empty table an empty result.
@@ -193,7 +193,7 @@ def find_pii(docs: DataFrame, models: dict[str, SpanModel] | None = None, accept
         return F.transform(spans, lambda s: F.concat_ws(":", F.lit(kind), s["start"].cast("string"), s["end"].cast("string")))
 
     def accepted(kind: str) -> Column:
-        return F.array_sort(F.filter(kind, lambda s: s["strict"] | (s["wide"] & (models[kind].probability(s) >= accept))))  # structs compare by start first
+        return F.array_sort(F.filter(kind, lambda s: s["strict"] | (s["wide"] & (s["shape"] != 2) & (models[kind].probability(s) >= accept))))  # structs compare by start first
 
     base, every = {k: F.filter(k, lambda s: s["strict"]) for k in KINDS}, {k: accepted(k) for k in KINDS}
     return found.select(
