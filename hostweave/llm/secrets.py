@@ -11,13 +11,17 @@ from pyspark.sql import functions as F
 from hostweave.llm.common import Workspace, unit
 from hostweave.llm.located import add_matches
 
-#: Runs of token characters with a digit; look-behind and look-ahead are tested once for each run.
-TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}"
+_RUN, _END = r"(?<![A-Za-z0-9+/_-])", r"(?![A-Za-z0-9+/_-])"
+#: Runs of 16 token characters or more with a digit, and issued formats; look-behind and look-ahead are tested once for each run.
+TOKEN = rf"{_RUN}(?:(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{{16,}}|(?:A[KS]IA[A-Z0-9]{{16}}|gh[pousr]_[A-Za-z0-9]{{36}}|sk-[A-Za-z0-9]{{20,}}+){_END}|xox[abpr]-[A-Za-z0-9+/_-]*+)"
+WORDS = r"(?:token|secret|passwo?r?d|passwd|pwd|api_?key|key|auth|bearer|credential)s?"
+#: A value of any length that a keyword assigns.
+ASSIGNED = rf"(?i){WORDS}[\"']?[ \t]*+(?:=>|:=|==|[=:])[ \t]*+[\"']?([^\s\"',;]++)"
 #: Expected number of findings that the forest is trained on, and the number of words in the dictionary.
 SAMPLE, DICTIONARY = 20_000, 4000
 FEATURES = ["length", "transitions", "letter_share", "digit_share", "upper_share", "distinct_share", "hex_only", "coverage", "path_hint", "assigned", "keyword", "quoted", "glued"]
 # Words that stand before secrets, and parts of paths of code that has made-up ones.
-KEYWORD = r"(?i)(?:token|secret|passwo?r?d|passwd|pwd|api_?key|key|auth|bearer|credential)s?\W{0,4}$"
+KEYWORD = rf"(?i){WORDS}\W{{0,4}}$"
 PATHS = r"(?i)test|example|sample|mock|doc|fixture"
 KNOWN = r"^(?:AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{36}$|^sk-[A-Za-z0-9]{20,}$|^xox[abpr]-"
 
@@ -32,7 +36,17 @@ def dictionary(texts: DataFrame, words: int = DICTIONARY) -> list[str]:
 def candidates(docs: DataFrame, words: list[str]) -> DataFrame:
     """One row per candidate: doc_id, start, end, known, FEATURES."""
     rows = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("path"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = add_matches(rows, "text", {"token": (r"[A-Za-z0-9+/_-]{16}", TOKEN)}).select("doc_id", "path", F.explode("m_token").alias("m"))
+    rows = add_matches(rows, "text", {"token": (r"[A-Za-z0-9+/_-]{16}|xox[abpr]-", TOKEN), "assigned": (rf"(?i){WORDS}[\"']?[ \t]*+[=:]", ASSIGNED)})
+
+    def value_of(m: Column) -> Column:
+        value = F.regexp_extract(m["text"], ASSIGNED, 1)
+        start = m["end"] - F.length(value)
+        prefix = F.substr(m["text"], F.lit(1), F.length(m["text"]) - F.length(value))
+        return F.struct(start.alias("start"), m["end"].alias("end"), value.alias("text"), prefix.alias("before"), m["after"].alias("after"), F.lit(True).alias("by_keyword"))
+
+    tokens = F.transform("m_token", lambda m: F.struct(*[m[k].alias(k) for k in ("start", "end", "text", "before", "after")], F.lit(False).alias("by_keyword")))
+    apart = F.filter(F.transform("m_assigned", value_of), lambda a: ~F.exists("m_token", lambda t: (t["start"] < a["end"]) & (a["start"] < t["end"])))
+    rows = rows.select("doc_id", "path", F.explode(F.concat(tokens, apart)).alias("m"))
     token, n = F.col("m.text"), F.length("m.text")
     share = lambda p: F.length(F.regexp_replace(token, p, "")) / n
     classes = F.translate(F.regexp_replace(F.regexp_replace(F.regexp_replace(token, "[a-z]", "\u0001"), "[A-Z]", "\u0002"), "[0-9]", "\u0003"), "\u0001\u0002\u0003", "aA0")
@@ -44,7 +58,7 @@ def candidates(docs: DataFrame, words: list[str]) -> DataFrame:
     values: dict[str, Column] = {
         "length": n.cast("double"), "transitions": changes / n, "letter_share": share("[^A-Za-z]"), "digit_share": share("[^0-9]"), "upper_share": share("[^A-Z]"),
         "distinct_share": F.size(F.array_distinct(F.split(token, ""))) / n, "hex_only": flag(token.rlike("^[0-9a-f]+$")), "coverage": covered / n, "path_hint": flag(F.col("path").rlike(PATHS)),
-        "assigned": flag(F.col("m.before").rlike(r"[=:]\s*[\"']?$")), "keyword": flag(F.col("m.before").rlike(KEYWORD)), "quoted": flag(F.col("m.before").rlike("[\"']$")), "glued": flag(F.col("m.after").rlike(r"^[\p{L}0-9]")),
+        "assigned": flag(F.col("m.by_keyword") | F.col("m.before").rlike(r"[=:]\s*[\"']?$")), "keyword": flag(F.col("m.by_keyword") | F.col("m.before").rlike(KEYWORD)), "quoted": flag(F.col("m.before").rlike("[\"']$")), "glued": flag(F.col("m.after").rlike(r"^[\p{L}0-9]")),
     }
     return rows.select("doc_id", F.col("m.start").alias("start"), F.col("m.end").alias("end"), token.rlike(KNOWN).alias("known"), F.sha2(token, 256).alias("token_sha256"), *[v.cast("double").alias(k) for k, v in values.items()])
 
@@ -71,7 +85,8 @@ def fit(findings: DataFrame, sample: int = SAMPLE, seed: int = 3) -> RandomFores
 def scan(docs: DataFrame, reference: DataFrame, findings: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
     """One row per candidate token: doc_id, start, end, token_sha256, probability, secret.
 
-    Candidates are runs of 16 or more token characters with a digit, in whole texts; places are code points, end exclusive.
+    Candidates are runs of 16 or more token characters with a digit, issued formats, and values of any length that a keyword
+    assigns, apart from those; in whole texts. Places are code points, end exclusive.
     The forest sees length, character classes and their changes, the share of letters in dictionary words (from the
     reference table), the path (source) and the words beside. findings: label and FEATURES of reviewed candidates; rules
     label them where none are given. A token of an issued format is a secret whatever the forest says. Without both
