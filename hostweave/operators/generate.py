@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,16 +12,16 @@ from hostweave.operators.sampling import bootstrap, weighted_draws
 from hostweave.schema import DAY, HOUR, MALICIOUS
 from hostweave.sources.shared import cut
 
-#: Attempts per campaign asked for, and candidate start times per campaign.
-MAX_ATTEMPTS, START_DRAWS = 10, 64
+#: Attempts per campaign asked for, at most.
+MAX_ATTEMPTS = 10
 
 
 def foothold_candidates(nodes: DataFrame, min_out_degree: int) -> DataFrame:
     return nodes.where(F.col("out_degree") >= min_out_degree).select("host", "out_degree")
 
 
-def attempts(spark, n: int) -> DataFrame:
-    return spark.range(n).select(F.col("id").alias("attempt"))
+def attempts(spark, n: int, since: int = 0) -> DataFrame:
+    return spark.range(since, n).select(F.col("id").alias("attempt"))
 
 
 def pick_footholds(tries: DataFrame, candidates: DataFrame, seed: int) -> DataFrame:
@@ -48,7 +50,8 @@ def generate(edges: DataFrame, nodes: DataFrame, user_host: DataFrame, breadth:
     by out-degree, harvests its users, keeps as many as a fit campaign has, draws as many distinct targets among the
     foothold's edges as a fit campaign has, by weight^alpha (in_degree + 1)^beta, times the bonus where a kept user is
     known, and gives each the user to use. Attempts whose foothold has no users are discarded. naive drops weights,
-    restriction and the preference for known users. ValueError if no foothold qualifies.
+    restriction and the preference for known users. ValueError if no foothold qualifies; a warning where MAX_ATTEMPTS
+    attempts a campaign give fewer than n.
     """
     spark = edges.sparkSession
     pool = foothold_candidates(nodes, min_out_degree)
@@ -56,11 +59,19 @@ def generate(edges: DataFrame, nodes: DataFrame, user_host: DataFrame, breadth:
         raise ValueError(f"no foothold has out-degree >= {min_out_degree}")
     if naive:
         alpha, beta, credential_bonus = 0.0, 0.0, 1.0
-    footholds = cut(pick_footholds(attempts(spark, tries or MAX_ATTEMPTS * n), pool, seed), "footholds")
-    creds = cut(harvest(footholds, user_host, max_creds, seed), "creds")
-    used = creds if naive else restrict(creds, breadth, seed)
+    most, done, found, footholds, used = tries or MAX_ATTEMPTS * n, 0, 0, None, None
+    # an attempt's draws depend on its number alone, so waves of attempts give what all at once would
+    while found < n and done < most:
+        upto = min(most, n + n // 8 + 64 if not done else 3 * done)
+        feet = cut(pick_footholds(attempts(spark, upto, done), pool, seed), "footholds")
+        creds = cut(harvest(feet, user_host, max_creds, seed), "creds")
+        kept = creds if naive else cut(restrict(creds, breadth, seed), "restricted")
+        footholds, used = (feet, kept) if used is None else (footholds.unionByName(feet), used.unionByName(kept))
+        found, done = used.select("attempt").distinct().count(), upto
+    if found < n:
+        warnings.warn(f"{found} of {n} campaigns: the other attempts of {done} have footholds without users", stacklevel=2)
     valid = used.select("attempt").distinct().withColumn("campaign_id", F.row_number().over(Window.orderBy("attempt")) - 1).where(F.col("campaign_id") < n)
-    used = cut(used.join(F.broadcast(valid), "attempt"), "used")
+    used = cut(used.join(valid, "attempt"), "used")
     valid = used.select("attempt", "campaign_id").distinct()
     sizes = bootstrap(footholds.join(valid, "attempt"), breadth.select("idx", "breadth"), seed, "breadth", "attempt")
     sizes = sizes.withColumn("capped", F.col("breadth") > F.col("out_degree")).withColumn("k", F.least("breadth", "out_degree"))
@@ -95,35 +106,34 @@ def corpus_stats(campaigns: DataFrame) -> DataFrame:
     return per.agg(n.alias("n"), tried.alias("attempts"), ((tried - n) / tried).alias("discard_rate"), F.avg(F.col("capped").cast("double")).alias("cap_rate"))
 
 
-def _starts(spans: DataFrame, hourly: DataFrame, collection_seconds: int, seed: int, low: int, high: int) -> DataFrame:
-    """(campaign_id, start) of the first draw from low up to high that ends in time."""
-    draws = spans.withColumn("draw", F.explode(F.sequence(F.lit(low), F.lit(high - 1))))
-    draws = weighted_draws(draws, hourly, "cnt", "hour", seed, "hour", "campaign_id", "draw")
-    days = F.greatest(F.floor(F.greatest(F.lit(collection_seconds) - F.col("longest"), F.lit(DAY)) / DAY), F.lit(1))
-    start = F.floor(u(seed, "day", "campaign_id", "draw") * days) * DAY + F.col("hour") * HOUR + F.floor(u(seed, "second", "campaign_id", "draw") * HOUR)
-    good = draws.withColumn("start", start.cast("long")).where(F.col("start") + F.col("longest") <= collection_seconds)
-    return good.groupBy("campaign_id").agg(F.min_by("start", "draw").alias("start"))
-
-
 def start_times(campaigns: DataFrame, hourly: DataFrame, collection_seconds: int, seed: int) -> DataFrame:
-    """(campaign_id, start): day uniform, hour by volume, second uniform; the first draw that ends in time.
+    """(campaign_id, start): day uniform, hour by volume, second uniform, among the starts that end in time.
 
-    START_DRAWS draws for each, then twice as many again and again for those that could still fit. A campaign has no row
-    only where it ends too late even from the first second of the earliest hour; place() raises on it.
+    Drawing again until a start fits is a draw among those that fit: a campaign that leaves a day or more fits from any
+    second of each of its days; one that leaves less begins on day 0, and an hour counts with the share of its seconds
+    that are early enough. A campaign has no row only where no start fits; place() raises on it.
     """
-    spans = cut(campaigns.groupBy("campaign_id").agg(F.max("dt_offset").alias("longest")), "spans")
-    found = cut(_starts(spans, hourly, collection_seconds, seed, 0, START_DRAWS), "drawn")
-    earliest = hourly.where("cnt > 0").agg(F.min("hour")).first()[0]
-    fit = spans.where(F.col("longest") + F.lit(earliest) * HOUR <= collection_seconds)
-    low = START_DRAWS
-    while not (left := fit.join(found, "campaign_id", "left_anti")).isEmpty():
-        found = cut(found.unionByName(_starts(left, hourly, collection_seconds, seed, low, 3 * low)), "drawn")
-        low *= 3
-    return found
+    spans = campaigns.groupBy("campaign_id").agg(F.max("dt_offset").alias("longest"))
+    hours = F.broadcast(hourly.where("cnt > 0").agg(F.sort_array(F.collect_list(F.struct("hour", "cnt"))).alias("hours")))  # 24 at most
+    room = F.col("room")
+    spans = spans.withColumn("room", F.lit(collection_seconds) - F.col("longest")).join(hours)
+    seconds = lambda h: F.greatest(F.least(room - h["hour"] * HOUR + 1, F.lit(HOUR)), F.lit(0)).cast("long")
+    zero = F.expr("CAST(array() AS array<struct<hour:bigint,seconds:bigint,hi:bigint>>)")
+
+    def step(acc, h):
+        before = F.when(F.size(acc) > 0, F.element_at(acc, -1)["hi"]).otherwise(F.lit(0))
+        return F.array_append(acc, F.struct(h["hour"].cast("long").alias("hour"), seconds(h).alias("seconds"), (before + h["cnt"] * seconds(h)).cast("long").alias("hi")))
+
+    placed = spans.withColumn("steps", F.aggregate("hours", zero, step)).where(F.size("steps") > 0).withColumn("total", F.element_at("steps", -1)["hi"]).where("total > 0")
+    r = u(seed, "hour", "campaign_id") * F.col("total").cast("double")
+    placed = placed.withColumn("_r", r).withColumn("at", F.filter("steps", lambda s: s["hi"].cast("double") > F.col("_r"))[0])
+    days = F.greatest(F.floor(room / DAY), F.lit(1))
+    start = F.floor(u(seed, "day", "campaign_id") * days) * DAY + F.col("at.hour") * HOUR + F.floor(u(seed, "second", "campaign_id") * F.col("at.seconds"))
+    return placed.select("campaign_id", start.cast("long").alias("start"))
 
 
 def place(campaigns: DataFrame, starts: DataFrame) -> DataFrame:
-    placed = campaigns.join(F.broadcast(starts), "campaign_id", "left")
+    placed = campaigns.join(starts, "campaign_id", "left")
     if not placed.where("start IS NULL").isEmpty():
         raise ValueError("a campaign doesn't fit into the collection window")
     return placed.withColumn("time", F.col("start") + F.col("dt_offset"))
@@ -133,6 +143,6 @@ def as_rows(placed: DataFrame) -> DataFrame:
     """Log rows with constant attributes, and their labels; row_id is dense by campaign and hop."""
     sizes = placed.groupBy("campaign_id").agg(F.count("*").alias("_n"))
     before = sizes.select("campaign_id", (F.sum("_n").over(Window.orderBy("campaign_id")) - F.col("_n")).alias("_before"))
-    out = placed.join(F.broadcast(before), "campaign_id")
+    out = placed.join(before, "campaign_id")
     constants = [F.lit(v).alias(k) for k, v in MALICIOUS.items()]
     return out.select("time", F.col("user").alias("src_user"), F.col("user").alias("dst_user"), "src_computer", "dst_computer", *constants, (F.col("_before") + F.col("hop_index")).alias("row_id"), F.lit(1).alias("is_malicious"), "campaign_id", "hop_index")

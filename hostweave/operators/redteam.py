@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hostweave.schema import AUTH_COLS, EVENT_KEY
+from hostweave.schema import AUTH_COLS, EVENT_KEY, between
 
 #: Redteam tables up to this number of events are broadcast to the log.
 BROADCAST_EVENTS = 200_000
 
 
-def _small(df: DataFrame) -> DataFrame:
+def few(df: DataFrame) -> DataFrame:
+    """The table marked for broadcast where it has no more than BROADCAST_EVENTS rows."""
     return F.broadcast(df) if df.limit(BROADCAST_EVENTS + 1).count() <= BROADCAST_EVENTS else df
 
 
@@ -25,7 +26,7 @@ def recover_redteam(auth: DataFrame, redteam: DataFrame) -> DataFrame:
     The small table is broadcast into an inner join with the log. Of several log rows for one event the first by its
     other columns is taken.
     """
-    hits = auth.join(_small(event_keys(redteam)), EVENT_KEY)
+    hits = auth.join(few(event_keys(redteam)), EVENT_KEY)
     order = Window.partitionBy(*EVENT_KEY).orderBy("dst_user", "auth_type", "logon_type", "auth_orientation", "success")
     return hits.withColumn("_r", F.row_number().over(order)).where("_r = 1").select(*AUTH_COLS)
 
@@ -64,14 +65,14 @@ def freeze_split(rows: DataFrame, fraction: float) -> DataFrame:
     distance = F.greatest(F.col("hi") - F.col("cut"), F.col("cut") - F.col("next"), F.lit(0.0))
     best = gaps.where("next IS NOT NULL").agg(F.min(F.struct(distance.alias("d"), "k"))["k"].alias("best"))
     sides = gaps.join(F.broadcast(best)).select("campaign_id", F.when(F.col("best").isNull() | (F.col("k") <= F.col("best")), "fit").otherwise("holdout").alias("side"))
-    return rows.join(F.broadcast(sides), "campaign_id")
+    return rows.join(sides, "campaign_id")
 
 
 def hard_negatives(auth: DataFrame, redteam: DataFrame, edges: DataFrame, fit: tuple[int, int], holdout: tuple[int, int]) -> DataFrame:
     """Log rows on attacked edges and in either window that aren't labelled events, with side."""
-    inside = F.col("time").between(*fit) | F.col("time").between(*holdout)
-    rows = auth.where(inside).join(_small(edges.select("src_computer", "dst_computer").distinct()), ["src_computer", "dst_computer"])
-    rows = rows.join(_small(event_keys(redteam)), EVENT_KEY, "left_anti")
+    inside = between(auth, *fit) | between(auth, *holdout)
+    rows = auth.where(inside).join(few(edges.select("src_computer", "dst_computer").distinct()), ["src_computer", "dst_computer"])
+    rows = rows.join(few(event_keys(redteam)), EVENT_KEY, "left_anti")
     return rows.withColumn("side", F.when(F.col("time").between(*fit), "fit").otherwise("holdout")).select(*AUTH_COLS, "side")
 
 

@@ -2,19 +2,44 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hostweave.functions.hashrng import first_k, race, u
 from hostweave.operators.graph import without_edges
-from hostweave.schema import AUTH_COLS
+from hostweave.operators.metrics import running_totals
+from hostweave.schema import AUTH_COLS, between
 
 KEY = ("time", "src_user", "src_computer", "dst_computer", "event_id")
 
 
+#: Draws up to this size are one distributed top-k, whose rows meet in one task.
+TOP_ROWS = 100_000
+#: Ranges of a running total over a pool that is drawn from with replacement, at most.
+MOST_SLOTS = 1 << 20
+
+
 def choice(df: DataFrame, n: int, seed: int, stream: str, *keys: str) -> DataFrame:
-    """n rows uniformly without replacement; keys make rows distinct."""
-    return first_k(df, n, u(seed, stream, *keys), *keys)
+    """n rows uniformly without replacement; keys make rows distinct.
+
+    Of a large draw, rows whose number is surely among the n smallest are taken as they are; only those in the narrow
+    band about the n-th one are sorted, so no task holds the draw.
+    """
+    if n <= TOP_ROWS:
+        return first_k(df, n, u(seed, stream, *keys), *keys)
+    total = df.count()
+    if n >= total:
+        return df
+    numbered = df.withColumn("_u", u(seed, stream, *keys))
+    slack = 8 * math.sqrt(n) + 64
+    low, high = max(0.0, (n - slack) / total), (n + slack) / total
+    seen = numbered.agg(F.count_if(F.col("_u") < low).alias("sure"), F.count_if(F.col("_u") < high).alias("reach")).first()
+    if not seen["sure"] <= n <= seen["reach"]:  # eight standard deviations away
+        return first_k(df, n, u(seed, stream, *keys), *keys)
+    band = first_k(numbered.where((F.col("_u") >= low) & (F.col("_u") < high)), n - seen["sure"], "_u", *keys)
+    return numbered.where(F.col("_u") < low).unionByName(band).drop("_u")
 
 
 def weighted_choice(df: DataFrame, n: int, weight: str, seed: int, stream: str, *keys: str) -> DataFrame:
@@ -27,16 +52,16 @@ def weighted_choice(df: DataFrame, n: int, weight: str, seed: int, stream: str,
 def weighted_draws(draws: DataFrame, pool: DataFrame, weight: str, order: str, seed: int, stream: str, *keys: str) -> DataFrame:
     """For each row of draws one row of pool, by weight, with replacement.
 
-    pool is a small table (hours, or hosts of large out-degree); its running weights are a single-task window and are
-    joined by range as a broadcast.
+    The running weights are cut into as many equal slots as pool has rows; a draw meets only the ranges of its own slot,
+    about two of them, in a join on the slot. pool has a row per host: its running weights are one sorted pass.
     """
-    w = Window.orderBy(order)
-    high = F.sum(F.col(weight).cast("double")).over(w)
-    ranges = pool.withColumn("_hi", high).withColumn("_lo", F.col("_hi") - F.col(weight)).withColumn("_total", F.max("_hi").over(Window.partitionBy()))
-    r = u(seed, stream, *keys) * F.col("_total")
-    total = ranges.agg(F.max("_total").alias("_total"))
-    placed = draws.join(F.broadcast(total)).withColumn("_r", r).drop("_total")
-    return placed.join(F.broadcast(ranges.drop("_total")), (F.col("_r") >= F.col("_lo")) & (F.col("_r") < F.col("_hi"))).drop("_r", "_lo", "_hi")
+    span = pool.agg(F.count("*").alias("n"), F.sum(F.col(weight).cast("double")).alias("total")).first()
+    slots, total = min(max(span["n"], 1), MOST_SLOTS), span["total"] or 0.0
+    slot = lambda x: F.least(F.floor(x / F.lit(total) * slots), F.lit(slots - 1)).cast("long")
+    ranges = pool.withColumn("_hi", F.sum(F.col(weight).cast("double")).over(Window.orderBy(order))).withColumn("_lo", F.col("_hi") - F.col(weight))
+    ranges = ranges.where(F.col(weight) > 0).withColumn("_slot", F.explode(F.sequence(slot(F.col("_lo")), slot(F.col("_hi")))))
+    placed = draws.withColumn("_r", u(seed, stream, *keys) * F.lit(total)).withColumn("_slot", slot(F.col("_r")))
+    return placed.join(ranges, "_slot").where((F.col("_r") >= F.col("_lo")) & (F.col("_r") < F.col("_hi"))).drop("_r", "_lo", "_hi", "_slot")
 
 
 def bootstrap(draws: DataFrame, values: DataFrame, seed: int, stream: str, *keys: str) -> DataFrame:
@@ -52,7 +77,7 @@ def benign_sample(auth: DataFrame, t_lo: int, t_hi: int, n: int, redteam_edges:
     sample_then_filter draws from the whole log first, as some engines do when a sample clause stands by a filter; it
     yields the window's share of n.
     """
-    inside = F.col("time").between(t_lo, t_hi)
+    inside = between(auth, t_lo, t_hi)
     keys = [k for k in KEY if k in auth.columns]
     drawn = choice(auth, n, seed, "benign", *keys).where(inside) if sample_then_filter else choice(auth.where(inside), n, seed, "benign", *keys)
     return without_edges(drawn, redteam_edges).select(*AUTH_COLS, *[k for k in keys if k not in AUTH_COLS])
@@ -75,13 +100,11 @@ def mixed_corpus(malicious: DataFrame, benign: DataFrame, rate: float, seed: int
 
 
 def dense_ids(rows: DataFrame, coarse: str, then: list, name: str = "row_id") -> DataFrame:
-    """Dense ids from 0 in the order of `coarse` (an integer column) and `then`: counts of days before, plus the place within the day, so that no task sorts everything."""
-    day = F.expr(f"{coarse} div 86400")
-    keyed = rows.withColumn("_day", day)
-    counts = keyed.groupBy("_day").agg(F.count("*").alias("_n"))
-    offsets = counts.select("_day", (F.sum("_n").over(Window.orderBy("_day")) - F.col("_n")).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("_day").orderBy(coarse, *then)) - 1
-    return keyed.join(F.broadcast(offsets), "_day").withColumn(name, F.col("_before") + place).drop("_day", "_before")
+    """Dense ids from 0 in the order of `coarse` (an integer column, such as a second) and `then`: the rows of smaller values, plus the place among those of the same value. A task sorts the rows of a few values, never a day or all."""
+    counts = rows.groupBy(coarse).agg(F.count("*").alias("_n"))
+    offsets = running_totals(counts, coarse, ["_n"]).select(coarse, (F.col("cum__n") - F.col("_n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy(coarse).orderBy(*then)) - 1
+    return rows.withColumn("_place", place).join(offsets, coarse).withColumn(name, F.col("_before") + F.col("_place")).drop("_before", "_place")
 
 
 def downsample_eval(scored: DataFrame, rate: float | None, seed: int, key: str, label: str = "label") -> DataFrame:

@@ -24,7 +24,7 @@ def max_jaccard(synth: DataFrame, fit: DataFrame) -> DataFrame:
     sizes_s = s.groupBy("campaign_id").agg(F.count("*").alias("a"))
     sizes_f = f.groupBy("fit_id").agg(F.count("*").alias("b"))
     common = s.join(f, PAIR).groupBy("campaign_id", "fit_id").agg(F.count("*").alias("c"))
-    scores = common.join(sizes_s, "campaign_id").join(F.broadcast(sizes_f), "fit_id").groupBy("campaign_id").agg(F.max(F.col("c") / (F.col("a") + F.col("b") - F.col("c"))).alias("j"))
+    scores = common.join(sizes_s, "campaign_id").join(sizes_f, "fit_id").groupBy("campaign_id").agg(F.max(F.col("c") / (F.col("a") + F.col("b") - F.col("c"))).alias("j"))
     return sizes_s.select("campaign_id").join(scores, "campaign_id", "left").select("campaign_id", F.coalesce("j", F.lit(0.0)).alias("max_jaccard"))
 
 

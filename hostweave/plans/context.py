@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from hostweave.functions.hashrng import sql_race, sql_u
 from hostweave.operators import aggregates, features, generate, graph, profile, redteam
-from hostweave.schema import EVENT_KEY, FitWindow
+from hostweave.schema import EVENT_KEY, FitWindow, between
 from hostweave.sources import logs
 from hostweave.sources.shared import cut
 
@@ -71,8 +71,8 @@ class Context:
     @cached_property
     def labelled(self) -> DataFrame:
         """Log rows after the fit window with label 1 for labelled events."""
-        keys = F.broadcast(redteam.event_keys(self.redteam).withColumn("_k", F.lit(1)))
-        rows = self.auth.where(F.col("time") > CONFIG.t_hi).join(keys, EVENT_KEY, "left")
+        keys = redteam.few(redteam.event_keys(self.redteam).withColumn("_k", F.lit(1)))
+        rows = self.auth.where(between(self.auth, CONFIG.t_hi + 1, None)).join(keys, EVENT_KEY, "left")
         return kept(rows.withColumn("label", F.coalesce("_k", F.lit(0))).drop("_k"))
 
     @cached_property
@@ -125,7 +125,7 @@ def _synth_sql(naive: bool) -> str:
 tries AS (SELECT range AS attempt, {sql_u(SEED, 'foothold', 'range')} * (SELECT max(hi) FROM pool) AS r FROM range({TRIES})),
 feet AS (SELECT attempt, host AS foothold, out_degree FROM tries JOIN pool ON r >= hi - out_degree AND r < hi),
 creds AS (SELECT attempt, "user" FROM (SELECT f.attempt, x."user", row_number() OVER (PARTITION BY f.attempt ORDER BY {sql_u(SEED, 'harvest', 'f.attempt', 'x."user"')}, x."user") AS r
-  FROM feet f JOIN (SELECT DISTINCT "user", computer FROM uh) x ON x.computer = f.foothold) WHERE r <= 30),
+  FROM feet f JOIN (SELECT DISTINCT "user", computer FROM uh) x ON x.computer = f.foothold) WHERE r <= {CONFIG.max_harvested_creds}),
 lists AS (SELECT row_number() OVER (ORDER BY campaign_id) - 1 AS idx, breadth, creds FROM (SELECT campaign_id, count(DISTINCT dst_computer) AS breadth, count(DISTINCT src_user) AS creds FROM split WHERE side = 'fit' GROUP BY 1)),
 mm AS (SELECT t.attempt, l.creds AS m FROM (SELECT DISTINCT attempt FROM creds) t JOIN lists l ON l.idx = floor({sql_u(SEED, 'creds', 't.attempt')} * (SELECT count(*) FROM lists))::BIGINT),
 used0 AS ({m_rule}),
@@ -170,11 +170,11 @@ split AS (SELECT camp.*, side FROM camp JOIN sides USING (campaign_id))""",
     "scored": "scored AS (SELECT l.*, ln((SELECT sum(weight)::DOUBLE FROM edges) / coalesce(e.weight::DOUBLE, 0.5::DOUBLE)) AS edge_rarity FROM labelled l LEFT JOIN edges e USING (src_computer, dst_computer))",
     "synth": _synth_sql(False),
     "hourly": "hourly AS (SELECT (time // 3600) % 24 AS hour, count(*) AS cnt FROM fit GROUP BY 1)",
-    "starts": f"""hh AS (SELECT hour, cnt, sum(cnt::DOUBLE) OVER (ORDER BY hour) AS hi FROM hourly),
-dr AS (SELECT campaign_id, longest, r.range AS draw FROM (SELECT campaign_id, max(dt_offset) AS longest FROM synth GROUP BY 1), range({generate.START_DRAWS}) r),
-dh AS (SELECT dr.*, hh.hour FROM dr JOIN hh ON {sql_u(SEED, 'hour', 'campaign_id', 'draw')} * (SELECT max(hi) FROM hh) >= hi - cnt AND {sql_u(SEED, 'hour', 'campaign_id', 'draw')} * (SELECT max(hi) FROM hh) < hi),
-ds AS (SELECT *, (floor({sql_u(SEED, 'day', 'campaign_id', 'draw')} * greatest(greatest(2592000 - longest, 86400) // 86400, 1)) * 86400 + hour * 3600 + floor({sql_u(SEED, 'second', 'campaign_id', 'draw')} * 3600))::BIGINT AS start FROM dh),
-starts AS (SELECT campaign_id, arg_min(start, draw) AS start FROM ds WHERE start + longest <= 2592000 GROUP BY 1)""",
+    "starts": f"""room AS (SELECT campaign_id, 2592000 - max(dt_offset) AS room FROM synth GROUP BY 1),
+hs AS (SELECT campaign_id, room, hour, cnt, greatest(least(room - hour * 3600 + 1, 3600), 0)::BIGINT AS seconds FROM room, hourly),
+hh AS (SELECT *, sum(cnt * seconds) OVER (PARTITION BY campaign_id ORDER BY hour)::BIGINT AS hi, sum(cnt * seconds) OVER (PARTITION BY campaign_id)::BIGINT AS total FROM hs),
+starts AS (SELECT campaign_id, (floor({sql_u(SEED, 'day', 'campaign_id')} * greatest(room // 86400, 1)) * 86400 + hour * 3600 + floor({sql_u(SEED, 'second', 'campaign_id')} * seconds))::BIGINT AS start
+  FROM hh WHERE {sql_u(SEED, 'hour', 'campaign_id')} * total::DOUBLE >= (hi - cnt * seconds)::DOUBLE AND {sql_u(SEED, 'hour', 'campaign_id')} * total::DOUBLE < hi::DOUBLE)""",
     "synth_rows": """cb AS (SELECT campaign_id, (sum(n) OVER (ORDER BY campaign_id) - n)::BIGINT AS before FROM (SELECT campaign_id, count(*) AS n FROM synth GROUP BY 1)),
 synth_rows AS (SELECT start + dt_offset AS time, "user" AS src_user, "user" AS dst_user, src_computer, dst_computer, 'NTLM' AS auth_type, 'Network' AS logon_type, 'LogOn' AS auth_orientation, 'Success' AS success,
   before + hop_index AS row_id, 1 AS is_malicious, campaign_id, hop_index FROM synth JOIN starts USING (campaign_id) JOIN cb USING (campaign_id))""",

@@ -12,8 +12,8 @@ from hostweave.operators import aggregates as A
 from hostweave.operators import features as P
 from hostweave.operators import generate as G
 from hostweave.operators import graph, metrics, profile, redteam, sampling, validate
-from hostweave.plans.context import CONFIG, FIT, K4, SEED, T, Context, with_tables
-from hostweave.schema import AUTH_COLS, EVENT_KEY, UNBOUNDED
+from hostweave.plans.context import CONFIG, FIT, K4, SEED, TRIES, T, Context, with_tables
+from hostweave.schema import AUTH_COLS, EVENT_KEY, UNBOUNDED, between
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,9 +56,10 @@ def scan_redteam(c):
     return c.redteam
 
 
-@query(None)
+@query("SELECT least(5000, count(*)) AS n FROM auth")
 def limit_scan(c):
-    return c.auth.select(*PAIR).limit(5000).groupBy(*PAIR).agg(F.count("*").alias("weight"))
+    """Events in an aggregate over the first 5000 rows; which rows those are isn't defined, only how many."""
+    return c.auth.select(*PAIR).limit(5000).groupBy(*PAIR).agg(F.count("*").alias("weight")).agg(F.sum("weight").alias("n"))
 
 
 @query("SELECT event_id, time FROM fit", "fit")
@@ -68,12 +69,12 @@ def window_bound(c):
 
 @query(f"SELECT event_id, time FROM auth WHERE time BETWEEN {LO} AND {HI}")
 def time_range(c):
-    return c.auth.where(F.col("time").between(LO, HI)).select("event_id", "time")
+    return c.auth.where(between(c.auth, LO, HI)).select("event_id", "time")
 
 
 @query(f"SELECT event_id, time FROM auth WHERE time BETWEEN {LO} AND {HI} OR time BETWEEN {BIN_LO} AND 2000000")
 def two_window_or(c):
-    return c.auth.where(F.col("time").between(LO, HI) | F.col("time").between(BIN_LO, 2000000)).select("event_id", "time")
+    return c.auth.where(between(c.auth, LO, HI) | between(c.auth, BIN_LO, 2000000)).select("event_id", "time")
 
 
 @query("SELECT event_id FROM auth a WHERE NOT EXISTS (SELECT 1 FROM redteam r WHERE r.src_computer = a.src_computer AND r.dst_computer = a.dst_computer)")
@@ -112,9 +113,8 @@ def project_rename(c):
     return redteam.event_keys(c.redteam)
 
 
-@query(f"SELECT {K4}, count(*) AS n FROM auth GROUP BY ALL HAVING count(*) > 1 OR min(event_id) % 10 = 0")
+@query(f"SELECT {K4}, count(*) AS n FROM auth GROUP BY ALL")
 def pair_keys(c):
-    """Every key with its count. The twin still leaves out most keys that occur once."""
     return c.auth.groupBy(*EVENT_KEY).agg(F.count("*").alias("n"))
 
 
@@ -405,7 +405,7 @@ BENIGN = f"drawn AS (SELECT {AUTH}, event_id FROM auth WHERE time BETWEEN {LO} A
 
 @query("SELECT event_id FROM drawn", extra=BENIGN)
 def reservoir_sample(c):
-    return sampling.choice(c.auth.where(F.col("time").between(LO, HI)), 500, SEED, "benign", *sampling.KEY).select("event_id")
+    return sampling.choice(c.auth.where(between(c.auth, LO, HI)), 500, SEED, "benign", *sampling.KEY).select("event_id")
 
 
 @query(f"SELECT event_id, {AUTH} FROM drawn d WHERE NOT EXISTS (SELECT 1 FROM redteam r WHERE r.src_computer = d.src_computer AND r.dst_computer = d.dst_computer)", extra=BENIGN)
@@ -429,8 +429,6 @@ def weighted_choice_with_replacement(c):
 
 
 def _feet(c):
-    from hostweave.plans.context import TRIES
-
     return G.pick_footholds(G.attempts(c.spark, TRIES), G.foothold_candidates(c.nodes, CONFIG.min_foothold_out_degree), SEED)
 
 

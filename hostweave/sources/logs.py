@@ -9,9 +9,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hostweave import schema
 from hostweave.schema import AUTH_COLS, AUTH_SCHEMA, DAY, LABEL_COLS, REDTEAM_SCHEMA
 
-EPOCH = "timestamp_ntz'2024-01-01 00:00:00'"
+EPOCH = f"timestamp_ntz'{schema.EPOCH}'"
 
 
 def session(app: str = "hostweave", master: str | None = None, **conf: str) -> SparkSession:
@@ -117,7 +118,7 @@ class Config:
 
 
 def events_as_auth(events: DataFrame) -> DataFrame:
-    """An authentication log derived from an events table, with event_id."""
+    """An authentication log derived from an events table, with event_id, and ts so that bounds on time reach the scan."""
     k = F.regexp_extract("props", '"k": ?([0-9]+)', 1).cast("int")
     user = F.concat(F.lit("U"), F.col("user_id").cast("string"), F.lit("@D1"))
     pick = lambda c, values, other: F.when(F.lit(False), F.lit("")).otherwise(F.lit(other)) if not values else _case(c, values, other)
@@ -132,6 +133,7 @@ def events_as_auth(events: DataFrame) -> DataFrame:
         pick(F.col("event_id") % 9, {0: "Network", 1: "Network", 2: "?", 3: "Service", 4: "Unlock", 5: "Interactive", 6: "Batch", 7: "NewCredentials"}, "CachedInteractive").alias("logon_type"),
         pick(F.col("event_id") % 3, {0: "LogOn", 1: "LogOff"}, "TGS").alias("auth_orientation"),
         F.when(F.col("event_type") == "error", "Fail").otherwise("Success").alias("success"),
+        "ts",
     )
 
 
