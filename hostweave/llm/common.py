@@ -1,20 +1,26 @@
-"""Shared helpers: tables, shared-folder intermediates, checked broadcasts."""
+"""Shared helpers: tables, shared-folder intermediates, checked broadcasts, joins on hot keys."""
 
 from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The white space of every contract, `[\x20\x09-\x0D]`.
 WHITESPACE = " \t\n\x0b\x0c\r"
-#: Keys that may be broadcast to filter a larger table (8 bytes each). Beyond it the join shuffles.
-BROADCAST_KEYS = 1_000_000
-#: Rows in one Arrow batch of texts, so that a batch stays small even where texts are long.
-ARROW_ROWS = 500
+#: Keys that may be broadcast to filter a larger table, and bytes of any broadcast. Beyond either the join shuffles.
+BROADCAST_KEYS, BROADCAST_BYTES = 1_000_000, 64 << 20
+#: A key of more rows than this is hot: its rows aren't dealt to one task. There are at most rows / HOT_ROWS of them.
+HOT_ROWS = 20_000
+#: Rows and bytes in one Arrow batch of texts, so that a batch stays small even where texts are long.
+ARROW_ROWS, ARROW_BYTES = 500, 16 << 20
+#: Hours after which sweep() takes a run's intermediates for left over.
+LEFT_OVER_HOURS = 72.0
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,14 +28,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only where none is named."""
+    """The folder that driver and executors share. On one machine, where none is named, a folder of our own; elsewhere that would be seen by the driver alone, so it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="hostweave-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+def sweep(spark: SparkSession, hours: float = LEFT_OVER_HOURS) -> int:
+    """Deletes intermediates of runs that began more than `hours` ago, and returns how many. Results read them lazily, so a run can't delete its own."""
+    fs, p = hadoop(spark, f"{shared_root(spark)}/hostweave")
+    old = [s.getPath() for s in fs.listStatus(p) if s.getModificationTime() < (time.time() - hours * 3600) * 1000] if fs.exists(p) else []
+    for x in old:
+        fs.delete(x, True)
+    return len(old)
+
+
 class Workspace:
     """Intermediate tables as Parquet in the shared folder: they cut lineage and outlive lost executors."""
 
@@ -61,6 +78,22 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def row_bytes(df: DataFrame) -> int | None:
+    """What a row takes in a broadcast: 16 a number, 96 a string (ids, hashes); None where a column has no such bound."""
+    total = 0
+    for f in df.schema:
+        if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType)):
+            return None
+        total += 96 if isinstance(f.dataType, T.StringType) else 16
+    return total
+
+
+def within(small: DataFrame, bound: int = BROADCAST_KEYS) -> DataFrame:
+    """The table marked for broadcast where neither its rows nor their bytes exceed the bounds."""
+    each = row_bytes(small)
+    return F.broadcast(small) if each and small.count() <= min(bound, BROADCAST_BYTES // each) else small
+
+
 def semi(df: DataFrame, keys: DataFrame, on: str, null_safe: bool = False, how: str = "left_semi", bound: int = BROADCAST_KEYS) -> DataFrame:
     """Rows of df whose key is in keys (one column, distinct), or with left_anti the others: broadcast where the count is within the bound, else shuffled."""
     keys = keys.select(F.col(on).alias("_semi_key"))
@@ -68,14 +101,30 @@ def semi(df: DataFrame, keys: DataFrame, on: str, null_safe: bool = False, how:
     return df.join(within(keys, bound), same, how)
 
 
-def within(small: DataFrame, bound: int = BROADCAST_KEYS) -> DataFrame:
-    """The table marked for broadcast where it has no more rows than the bound."""
-    return F.broadcast(small) if small.limit(bound + 1).count() <= bound else small
+def keyed(df: DataFrame, table: DataFrame, key: str, rows: str, how: str = "left", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """df joined on a long `key` >= 0 with table, which has the key once and in `rows` the number of df's rows that have it.
+
+    Hot keys are broadcast; a row that has found one there takes a key of its own (a negative one, which nothing has)
+    into the shuffle for the others, so no task gets the rows of a hot key. how is left or inner.
+    """
+    names = [c for c in table.columns if c not in (key, rows)]
+    rest = table.where(F.col(rows) <= hot_rows).select(F.col(key).alias("_k"), F.struct(*names, F.lit(True).alias("_there")).alias("_cold"))
+    if table.where(F.col(rows) > hot_rows).isEmpty():
+        out = df.withColumn("_hot", F.lit(None).cast(rest.schema["_cold"].dataType)).join(rest, F.col(key) == F.col("_k"), "left")
+    else:
+        hot = table.where(F.col(rows) > hot_rows).select(F.col(key).alias("_h"), F.struct(*names, F.lit(True).alias("_there")).alias("_hot"))
+        out = df.join(F.broadcast(hot), F.col(key) == F.col("_h"), "left").drop("_h")
+        own = -1 - F.pmod(F.xxhash64(*[c for c in df.columns]), F.lit(1 << 62))
+        out = out.withColumn("_deal", F.when(F.col("_hot").isNotNull(), own).otherwise(F.col(key))).join(rest, F.col("_deal") == F.col("_k"), "left").drop("_deal")
+    if how == "inner":
+        out = out.where("_hot._there OR _cold._there")
+    return out.select(*df.columns, *[F.coalesce(F.col(f"_hot.{c}"), F.col(f"_cold.{c}")).alias(c) for c in names])
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of few rows; a batch of 10,000 long texts would not fit a worker."""
+    """Arrow batches of few rows and bytes; a batch of 10,000 long texts would not fit a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def unit(*keys: Column) -> Column:

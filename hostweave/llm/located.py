@@ -21,17 +21,34 @@ def add_matches(df: DataFrame, text: str, patterns: dict[str, tuple[str, str]])
     return df.withColumns({f"m_{n}": _placed(f"_f_{n}", f"_g_{n}") for n in patterns}).drop(*found, *[f"_g_{n}" for n in patterns])
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with value evaluated once in an interpreted lambda."""
+    return F.transform(F.array(value), use)[0]
+
+
+#: Matches that are placed in one fold; folds copy what they have gathered, so their length is bounded.
+RUN = 64
+
+
 def _placed(found: str, gaps: str) -> Column:
-    first = F.slice(gaps, 1, F.size(found))
-    after = F.slice(gaps, 2, F.size(found))
-    steps = F.zip_with(F.zip_with(F.col(found), first, lambda m, g: F.struct(m.alias("m"), g.alias("g"))), after, lambda s, g: F.struct(s["m"].alias("m"), s["g"].alias("g"), g.alias("a")))
+    """Places by runs of RUN matches: each run's offset is the length of the runs before it."""
+    first, after = F.slice(gaps, 1, F.size(found)), F.slice(gaps, 2, F.size(found))
+    steps = F.arrays_zip(F.col(found).alias("m"), first.alias("g"), after.alias("a"))
     empty = F.expr("CAST(array() AS array<struct<start:int,end:int,text:string,before:string,after:string>>)")
+    length = lambda acc, s: acc + F.length(s["g"]) + F.length(s["m"])
 
-    def step(acc: Column, s: Column) -> Column:
+    def one(acc: Column, s: Column) -> Column:
         start = acc["at"] + F.length(s["g"])
         end = start + F.length(s["m"])
-        one = F.struct(start.alias("start"), end.alias("end"), s["m"].alias("text"), F.right(s["g"], F.lit(CONTEXT)).alias("before"), F.left(s["a"], F.lit(CONTEXT)).alias("after"))
-        return F.struct(end.alias("at"), F.array_append(acc["done"], one).alias("done"))
+        placed = F.struct(start.alias("start"), end.alias("end"), s["m"].alias("text"), F.right(s["g"], F.lit(CONTEXT)).alias("before"), F.left(s["a"], F.lit(CONTEXT)).alias("after"))
+        return F.struct(end.alias("at"), F.array_append(acc["done"], placed).alias("done"))
+
+    def cut(all_steps: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(all_steps) - 1) / RUN).cast("int")), lambda k: F.slice(all_steps, k * RUN + 1, F.lit(RUN)))
+
+    def place(runs: Column) -> Column:
+        offsets = F.aggregate(runs, F.array(F.lit(0)), lambda acc, run: F.array_append(acc, F.aggregate(run, F.element_at(acc, -1), length)))
+        pairs = F.filter(F.arrays_zip(runs.alias("run"), offsets.alias("at")), lambda x: x["run"].isNotNull())
+        return F.flatten(F.transform(pairs, lambda x: F.aggregate(x["run"], F.struct(x["at"].alias("at"), empty.alias("done")), one)["done"]))
 
-    folded = F.aggregate(steps, F.struct(F.lit(0).alias("at"), empty.alias("done")), step)["done"]
-    return F.when(F.size(found) > 0, folded).otherwise(empty)
+    return F.when(F.size(found) > 0, let(let(steps, cut), place)).otherwise(empty)

@@ -45,7 +45,7 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("bucket")
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
 def op9_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
