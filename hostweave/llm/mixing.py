@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hostweave.llm.common import Workspace, unit
+from hostweave.llm.located import let
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Units that one fold handles; also the fan-in of the reduction tree.
@@ -41,11 +42,6 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
     return found.withColumn("at", first_open["level"]).select("source", "rank", "source_size", "units", F.least("cap", F.coalesce(F.col("at") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def _let(value: Column, use) -> Column:
-    """use(value) with value evaluated once in an interpreted lambda."""
-    return F.transform(F.array(value), use)[0]
-
-
 def _pair(acc: Column, b: Column, seed: int) -> Column:
     """Moves words between the carried unit and b until one probability is 0 or 1; the sum of p * s stays.
 
@@ -55,8 +51,8 @@ def _pair(acc: Column, b: Column, seed: int) -> Column:
     up = F.least((1 - a["p"]) * a["s"], b["p"] * b["s"])
     down = F.least(a["p"] * a["s"], (1 - b["p"]) * b["s"])
     draw = unit(F.lit(seed), a["id"], a["s"], b["id"], b["s"])
-    moved = _let(F.struct(up.alias("up"), down.alias("down"), draw.alias("r")), lambda m: F.when(m["r"] * (m["up"] + m["down"]) < m["down"], m["up"]).otherwise(-m["down"]))
-    probabilities = _let(moved, lambda m: F.struct((a["p"] + m / a["s"]).alias("a"), (b["p"] - m / b["s"]).alias("b")))
+    moved = let(F.struct(up.alias("up"), down.alias("down"), draw.alias("r")), lambda m: F.when(m["r"] * (m["up"] + m["down"]) < m["down"], m["up"]).otherwise(-m["down"]))
+    probabilities = let(moved, lambda m: F.struct((a["p"] + m / a["s"]).alias("a"), (b["p"] - m / b["s"]).alias("b")))
 
     def settle(q: Column) -> Column:
         a_done = (q["a"] <= EPSILON) | (q["a"] >= 1 - EPSILON)
@@ -64,7 +60,7 @@ def _pair(acc: Column, b: Column, seed: int) -> Column:
         carry = F.struct(F.when(a_done, b["id"]).otherwise(a["id"]).alias("id"), F.when(a_done, b["s"]).otherwise(a["s"]).alias("s"), F.when(a_done, q["b"]).otherwise(q["a"]).alias("p"))
         return F.struct(F.array_append(acc["done"], done).alias("done"), carry.alias("carry"))
 
-    return _let(probabilities, settle)
+    return let(probabilities, settle)
 
 
 def pivotal_round(units: DataFrame, most_units: int, seed: int, ws: Workspace) -> DataFrame:

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hostweave.llm.common import Workspace
-from hostweave.llm.located import add_matches
+from hostweave.llm.located import add_matches, let
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -44,6 +46,12 @@ CONTEXT_FOR = {
 CONTEXT_AGAINST = r"(?i)\b(?:version|ver|v|id|isbn|order|ref|invoice|serial|hash|build|release)\W{0,3}$"
 #: Wider spans are added from this probability on.
 ACCEPT = 0.9
+#: Failed base matches that are proposed again: digits of a card or phone number, and addresses with too large a part.
+DIGITS = {"card": (13, 19), "phone": (7, 15)}
+#: What the digit sum and the shape checks are taken to have judged before the corpus is seen: (right, wrong) votes.
+TRUST = {"shape": (30.0, 0.3)}
+#: Penalty of the span classifier, in candidates.
+RIDGE = 0.02
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})"
 
 
@@ -70,10 +78,14 @@ def passes(kind: str, text: Column) -> Column:
     return F.lit(True)
 
 
-def votes(kind: str, m: Column, strict: Column) -> dict[str, Column]:
-    """Each labeler's vote on a match: 1 for, 2 against, 0 none."""
+def votes(kind: str, m: Column, strict: Column, wide: bool) -> dict[str, Column]:
+    """Each labeler's vote on a match: 1 for, 2 against, 0 none. The shape of a card is its digit sum, that of a wider form without a check says nothing."""
+    if kind == "card":
+        shape = F.when(luhn(m["text"]), 1).otherwise(2)
+    else:
+        shape = F.lit(0) if wide else F.when(strict, 1).otherwise(2)
     return {
-        "shape": F.when(strict, 1).otherwise(2 if kind != "card" else F.when(luhn(m["text"]), 0).otherwise(2)),
+        "shape": shape,
         "gazetteer": F.when(m["text"].rlike(GAZETTEER[kind]), 1).otherwise(2),
         "context": F.when(m["before"].rlike(CONTEXT_FOR[kind]), 1).when(m["before"].rlike(CONTEXT_AGAINST), 2).otherwise(0),
         "edges": F.when(m["before"].rlike(r"[\p{L}0-9_=/]$") | m["after"].rlike(r"^[\p{L}0-9_=/]"), 2).otherwise(1),
@@ -83,31 +95,49 @@ def votes(kind: str, m: Column, strict: Column) -> dict[str, Column]:
 LABELERS = ("shape", "gazetteer", "context", "edges")
 #: The classifier's features besides the votes: length of the match in four classes, and whether it is a wider form.
 SPAN = "struct<start:int,end:int,strict:boolean,wide:boolean,shape:int,gazetteer:int,context:int,edges:int,size:int>"
+#: Spans that are compared as one with what they may overlap.
+RUN = 64
+
+
+def apart(rows: DataFrame, mine: str, others: str, standing: Callable[[Column], Column], free: Callable[[Column], Column]) -> DataFrame:
+    """Drops from the array `mine` the spans that overlap a standing one of `others`, except those that are free to.
+
+    Spans of an array are disjoint and by start. Others are taken in runs of RUN, and only runs that reach a span are
+    looked into, so that long texts with many spans don't compare all with all.
+    """
+    cut = lambda x: F.when(F.size(x) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / RUN).cast("int")), lambda k: F.slice(x, k * RUN + 1, F.lit(RUN))))
+    runs = F.transform(let(F.filter(others, standing), cut), lambda r: F.struct(r[0]["start"].alias("low"), F.element_at(r, -1)["end"].alias("high"), r.alias("spans")))
+    meets = lambda s: F.exists("_runs", lambda r: (r["low"] < s["end"]) & (s["start"] < r["high"]) & F.exists(r["spans"], lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"])))
+    kept = F.filter(mine, lambda s: free(s) | ~meets(s))
+    return rows.withColumn("_runs", runs).withColumn(mine, F.when(F.col("_runs").isNull(), F.col(mine)).otherwise(kept)).drop("_runs")
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id and, by kind, an array of SPAN for each row of docs."""
+    """doc_id and, by kind, an array of SPAN for each row of docs: base spans, and proposals apart from those.
+
+    Proposals are the wider forms, and base matches that fail their check but have the digits of a number of that kind.
+    """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = add_matches(rows, "text", {f"{k}_base": p for k, p in BASE.items()} | {f"{k}_wide": p for k, p in WIDE.items()})
 
     def spans(kind: str, wide: bool) -> Column:
         def one(m: Column) -> Column:
             strict = F.lit(False) if wide else passes(kind, m["text"])
-            v = {k: x.cast("int") for k, x in votes(kind, m, strict).items()}
-            if wide:
-                v["shape"] = F.when(luhn(m["text"]), 0).otherwise(2).cast("int") if kind == "card" else F.lit(0)
+            v = {k: x.cast("int") for k, x in votes(kind, m, strict, wide).items()}
             size = F.least(F.floor(F.length(m["text"]) / 8), F.lit(3)).cast("int")
             return F.struct(m["start"].alias("start"), m["end"].alias("end"), strict.alias("strict"), F.lit(wide).alias("wide"), *[v[x].alias(x) for x in LABELERS], size.alias("size"))
 
-        return F.transform(f"m_{kind}_{'wide' if wide else 'base'}", one)
-
-    def merged(kind: str) -> Column:
-        base = F.col(f"b_{kind}")
-        apart = F.filter(f"w_{kind}", lambda w: ~F.exists(base, lambda b: b["strict"] & (b["start"] < w["end"]) & (w["start"] < b["end"])))
-        return F.concat(base, apart).cast(f"array<{SPAN}>")
+        matches = F.col(f"m_{kind}_{'wide' if wide else 'base'}")
+        if not wide and kind in DIGITS:  # drop what neither passes nor is proposed: years, sums, single groups
+            low, high = DIGITS[kind]
+            matches = F.filter(matches, lambda m: F.length(F.regexp_replace(m["text"], "[^0-9]", "")).between(low, high) | passes(kind, m["text"]))
+        return F.transform(matches, one)
 
     rows = rows.select("doc_id", *[spans(k, False).alias(f"b_{k}") for k in KINDS], *[spans(k, True).alias(f"w_{k}") for k in KINDS])
-    return rows.select("doc_id", *[merged(k).alias(k) for k in KINDS])
+    for k in KINDS:
+        rows = apart(rows, f"w_{k}", f"b_{k}", lambda b: b["strict"], lambda w: F.lit(False))
+        rows = apart(rows, f"b_{k}", f"w_{k}", lambda w: F.lit(True), lambda b: b["strict"])
+    return rows.select("doc_id", *[F.array_sort(F.concat(f"b_{k}", f"w_{k}").cast(f"array<{SPAN}>")).alias(k) for k in KINDS])  # structs compare by start first
 
 
 @dataclass
@@ -126,41 +156,43 @@ class SpanModel:
         return 1 / (1 + F.exp(-z))
 
 
-def fit_kind(patterns: list[tuple[dict[str, int], int]], rounds: int = 40, steps: int = 300) -> SpanModel:
+def fit_kind(patterns: list[tuple[dict[str, int], int]], rounds: int = 40, steps: int = 40) -> SpanModel:
     """patterns: (votes and features, number of candidates), a bounded table whatever the corpus.
 
-    A two-class naive Bayes over the labelers' votes, started from their majority, gives each pattern a probability; a
-    logistic regression over votes and features is then trained on those by gradient descent.
+    A two-class naive Bayes over the labelers' votes, started from their weighted majority, gives each pattern a probability; a
+    logistic regression over votes and features is then trained on those by ridged Newton steps.
     """
     total = sum(n for _, n in patterns) or 1
-    guess = [0.9 if sum((v[x] == 1) - (v[x] == 2) for x in LABELERS) > 0 else 0.1 for v, _ in patterns]
+    weigh = {x: math.log(right / wrong) for x, (right, wrong) in ({k: (2.0, 1.0) for k in LABELERS} | TRUST).items()}
+    guess = [0.9 if sum(weigh[x] * ((v[x] == 1) - (v[x] == 2)) for x in LABELERS) > 0 else 0.1 for v, _ in patterns]
     prior, reliability = 0.5, {}
+
+    def odds(v: dict[str, int], share: float) -> float:
+        z = math.log(share / (1 - share)) + sum(math.log(reliability[x, v[x]][0] / reliability[x, v[x]][1]) for x in LABELERS)
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+
     for _ in range(rounds):
         mass = sum(n * g for (_, n), g in zip(patterns, guess, strict=True))
         prior = (mass + 1) / (total + 2)
         for x in LABELERS:
-            for value in (0, 1, 2):
+            # the smoothing says that a vote is rather right than wrong, and of some labelers that it nearly always is
+            right, wrong = TRUST.get(x, (2.0, 1.0))
+            for value, before in ((0, (wrong, wrong)), (1, (right, wrong)), (2, (wrong, right))):
                 yes = sum(n * g for (v, n), g in zip(patterns, guess, strict=True) if v[x] == value)
                 no = sum(n * (1 - g) for (v, n), g in zip(patterns, guess, strict=True) if v[x] == value)
-                # the smoothing says that a vote is rather right than wrong
-                reliability[x, value] = ((yes + (2 if value == 1 else 1)) / (mass + 4), (no + (2 if value == 2 else 1)) / (total - mass + 4))
-        for i, (v, _) in enumerate(patterns):
-            odds = math.log(prior / (1 - prior)) + sum(math.log(reliability[x, v[x]][0] / reliability[x, v[x]][1]) for x in LABELERS)
-            guess[i] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
-    weights: dict[tuple[str, int], float] = {(x, v[x]): 0.0 for v, _ in patterns for x in v}
-    bias = 0.0
-    for _ in range(steps):
-        slope, down = dict.fromkeys(weights, 0.0), 0.0
-        for (v, n), g in zip(patterns, guess, strict=True):
-            z = bias + sum(weights[x, v[x]] for x in v)
-            error = n / total * (1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) - g)
-            down += error
-            for x in v:
-                slope[x, v[x]] += error
-        bias -= 2.0 * down
-        for k in weights:
-            weights[k] -= 2.0 * (slope[k] + 1e-4 * weights[k])
-    return SpanModel(prior, reliability, weights, bias)
+                reliability[x, value] = ((yes + before[0]) / (mass + right + 2 * wrong), (no + before[1]) / (total - mass + right + 2 * wrong))
+        guess = [odds(v, prior) for v, _ in patterns]
+    # nearly all candidates are base spans, which nobody judges; their share says nothing about a proposal
+    guess = [odds(v, 0.5) for v, _ in patterns]
+    names = sorted({(x, v[x]) for v, _ in patterns for x in v})
+    x = np.array([[1.0] + [float(v[name] == value) for name, value in names] for v, _ in patterns]).reshape(len(patterns), len(names) + 1)
+    count, target, w = np.array([n for _, n in patterns], dtype=float), np.array(guess), np.zeros(len(names) + 1)
+    for _ in range(steps if patterns else 0):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (count * (p - target)) + RIDGE * w
+        bend = (x * (count * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + RIDGE * np.eye(len(w))
+        w -= np.clip(np.linalg.solve(bend, slope), -2, 2)
+    return SpanModel(prior, reliability, dict(zip(names, w[1:].tolist(), strict=True)), float(w[0]))
 
 
 def fit(found: DataFrame) -> dict[str, SpanModel]:
@@ -177,11 +209,12 @@ def fit(found: DataFrame) -> dict[str, SpanModel]:
 
 
 def find_pii(docs: DataFrame, models: dict[str, SpanModel] | None = None, accept: float = ACCEPT) -> DataFrame:
-    """One row per row of docs: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added.
+    """One row per row of docs: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_judged, n_added, n_spans.
 
     Base spans are the leftmost non-overlapping matches of each kind that pass its check; the counts and base_sha256 are
-    theirs. A match that fails its check is dropped, as is a 15-digit card that fails its digit sum. spans also has the wider forms, apart from any base span, whose
-    probability by the trained classifier reaches `accept`; n_added counts those. A span is kind:start:end in code points,
+    theirs. Proposals are wider forms apart from base spans, and base matches that fail their check but have the digits
+    of a number of that kind; n_judged counts them. The trained classifier judges each by itself: spans also has those
+    whose probability reaches `accept`, counted by n_added; n_spans counts all. A span is kind:start:end in code points,
     end exclusive, in the order of KINDS and then start. A null text is empty; without spans the strings are empty (and
     base_sha256 that of an empty string). Repeated rows get equal results, an empty table an empty result.
     """
@@ -192,14 +225,15 @@ def find_pii(docs: DataFrame, models: dict[str, SpanModel] | None = None, accept
     def written(kind: str, spans: Column) -> Column:
         return F.transform(spans, lambda s: F.concat_ws(":", F.lit(kind), s["start"].cast("string"), s["end"].cast("string")))
 
-    def accepted(kind: str) -> Column:
-        return F.array_sort(F.filter(kind, lambda s: s["strict"] | (s["wide"] & (s["shape"] != 2) & (models[kind].probability(s) >= accept))))  # structs compare by start first
-
-    base, every = {k: F.filter(k, lambda s: s["strict"]) for k in KINDS}, {k: accepted(k) for k in KINDS}
+    base = {k: F.filter(k, lambda s: s["strict"]) for k in KINDS}
+    every = {k: F.filter(k, lambda s: s["strict"] | (models[k].probability(s) >= accept)) for k in KINDS}
+    total = lambda arrays: sum((F.size(a) for a in arrays[1:]), F.size(arrays[0])).cast("long")
     return found.select(
         "doc_id",
         *[F.size(base[k]).cast("long").alias(f"n_{k}") for k in KINDS],
         F.sha2(F.concat_ws(",", F.concat(*[written(k, base[k]) for k in KINDS])), 256).alias("base_sha256"),
         F.concat_ws(",", F.concat(*[written(k, every[k]) for k in KINDS])).alias("spans"),
-        sum((F.size(every[k]) - F.size(base[k]) for k in KINDS[1:]), F.size(every["email"]) - F.size(base["email"])).cast("long").alias("n_added"),
+        (total([F.col(k) for k in KINDS]) - total([base[k] for k in KINDS])).alias("n_judged"),
+        (total([every[k] for k in KINDS]) - total([base[k] for k in KINDS])).alias("n_added"),
+        total([every[k] for k in KINDS]).alias("n_spans"),
     )
