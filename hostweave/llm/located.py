@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +28,7 @@ def let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-#: Matches that are placed in one fold; folds copy what they have gathered, so their length is bounded.
+#: Matches that are placed in one fold, and spans that are compared as one. Folds copy what they have gathered, so their length is bounded.
 RUN = 64
 
 
@@ -52,3 +54,16 @@ def _placed(found: str, gaps: str) -> Column:
         return F.flatten(F.transform(pairs, lambda x: F.aggregate(x["run"], F.struct(x["at"].alias("at"), empty.alias("done")), one)["done"]))
 
     return F.when(F.size(found) > 0, let(let(steps, cut), place)).otherwise(empty)
+
+
+def apart(rows: DataFrame, mine: str, others: str, standing: Callable[[Column], Column], free: Callable[[Column], Column]) -> DataFrame:
+    """Drops from the array `mine` the spans that overlap a standing one of `others`, except those that are free to.
+
+    Spans of an array are disjoint and by start. Others are taken in runs of RUN, and only runs that reach a span are
+    looked into, so that long texts with many spans don't compare all with all.
+    """
+    cut = lambda x: F.when(F.size(x) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / RUN).cast("int")), lambda k: F.slice(x, k * RUN + 1, F.lit(RUN))))
+    runs = F.transform(let(F.filter(others, standing), cut), lambda r: F.struct(r[0]["start"].alias("low"), F.element_at(r, -1)["end"].alias("high"), r.alias("spans")))
+    meets = lambda s: F.exists("_runs", lambda r: (r["low"] < s["end"]) & (s["start"] < r["high"]) & F.exists(r["spans"], lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"])))
+    kept = F.filter(mine, lambda s: free(s) | ~meets(s))
+    return rows.withColumn("_runs", runs).withColumn(mine, F.when(F.col("_runs").isNull(), F.col(mine)).otherwise(kept)).drop("_runs")

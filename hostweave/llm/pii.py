@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hostweave.llm.common import Workspace
-from hostweave.llm.located import add_matches, let
+from hostweave.llm.located import add_matches, apart
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -95,23 +94,6 @@ def votes(kind: str, m: Column, strict: Column, wide: bool) -> dict[str, Column]
 LABELERS = ("shape", "gazetteer", "context", "edges")
 #: The classifier's features besides the votes: length of the match in four classes, and whether it is a wider form.
 SPAN = "struct<start:int,end:int,strict:boolean,wide:boolean,shape:int,gazetteer:int,context:int,edges:int,size:int>"
-#: Spans that are compared as one with what they may overlap.
-RUN = 64
-
-
-def apart(rows: DataFrame, mine: str, others: str, standing: Callable[[Column], Column], free: Callable[[Column], Column]) -> DataFrame:
-    """Drops from the array `mine` the spans that overlap a standing one of `others`, except those that are free to.
-
-    Spans of an array are disjoint and by start. Others are taken in runs of RUN, and only runs that reach a span are
-    looked into, so that long texts with many spans don't compare all with all.
-    """
-    cut = lambda x: F.when(F.size(x) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / RUN).cast("int")), lambda k: F.slice(x, k * RUN + 1, F.lit(RUN))))
-    runs = F.transform(let(F.filter(others, standing), cut), lambda r: F.struct(r[0]["start"].alias("low"), F.element_at(r, -1)["end"].alias("high"), r.alias("spans")))
-    meets = lambda s: F.exists("_runs", lambda r: (r["low"] < s["end"]) & (s["start"] < r["high"]) & F.exists(r["spans"], lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"])))
-    kept = F.filter(mine, lambda s: free(s) | ~meets(s))
-    return rows.withColumn("_runs", runs).withColumn(mine, F.when(F.col("_runs").isNull(), F.col(mine)).otherwise(kept)).drop("_runs")
-
-
 def candidates(docs: DataFrame) -> DataFrame:
     """doc_id and, by kind, an array of SPAN for each row of docs: base spans, and proposals apart from those.
 
