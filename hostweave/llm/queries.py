@@ -8,15 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hostweave.llm import chroma, compaction, exact_dedup, langid, mixing, parity_join, pieces, pii, secrets, toxicity
-from hostweave.llm.common import Workspace, table
+from hostweave.llm.common import Workspace, table, within
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shards documents and reads them back: doc_id, n_chars, text_sha256, listed (the row's file is in the last manifest)."""
+    """Shards documents and reads them back: doc_id, n_chars, text_sha256, listed (the file that the row was read from is in the last manifest on disk, and no larger than twice the target)."""
     docs = table(spark, sf_dir, "documents")
-    ws = Workspace(spark, "sharding")
-    rows = compaction.shard(docs, f"{ws.root}/store")
-    return rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"), F.col("shard").isNotNull().alias("listed"))
+    root = f"{Workspace(spark, 'sharding').root}/store"
+    rows = compaction.shard(docs, root)
+    files = [(f.path.split("/")[-1],) for f in compaction.ShardStore(spark, root).manifest()[1] if f.bytes <= 2 * compaction.TARGET_BYTES]
+    manifest = spark.createDataFrame(files, "_file string").withColumn("_in", F.lit(True))
+    rows = rows.join(within(manifest), F.col("shard") == F.col("_file"), "left")
+    return rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"), F.coalesce("_in", F.lit(False)).alias("listed"))
 
 
 def op2_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
