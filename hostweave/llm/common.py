@@ -15,8 +15,8 @@ from pyspark.sql import types as T
 WHITESPACE = " \t\n\x0b\x0c\r"
 #: Keys that may be broadcast to filter a larger table, and bytes of any broadcast. Beyond either the join shuffles.
 BROADCAST_KEYS, BROADCAST_BYTES = 1_000_000, 64 << 20
-#: A key of more rows than this is hot: its rows aren't dealt to one task. There are at most rows / HOT_ROWS of them.
-HOT_ROWS = 20_000
+#: A key of more rows than this is hot: its rows aren't dealt to one task.
+HOT_ROWS = 1000
 #: Rows and bytes in one Arrow batch of texts, so that a batch stays small even where texts are long.
 ARROW_ROWS, ARROW_BYTES = 500, 16 << 20
 #: Hours after which sweep() takes a run's intermediates for left over.
@@ -101,24 +101,25 @@ def semi(df: DataFrame, keys: DataFrame, on: str, null_safe: bool = False, how:
     return df.join(within(keys, bound), same, how)
 
 
-def keyed(df: DataFrame, table: DataFrame, key: str, rows: str, how: str = "left", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """df joined on a long `key` >= 0 with table, which has the key once and in `rows` the number of df's rows that have it.
+def keyed(df: DataFrame, table: DataFrame, key: str, rows: str | None = None, how: str = "inner", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """df joined on key with table, which has a key once; how is inner or left. Rows of a hot key are dealt over several tasks.
 
-    Hot keys are broadcast; a row that has found one there takes a key of its own (a negative one, which nothing has)
-    into the shuffle for the others, so no task gets the rows of a hot key. how is left or inner.
+    A small table is broadcast. Else the rows of a key that df has more than hot_rows times are dealt by their hash into
+    parts of about that size, and the table's row is repeated for each part. `rows` names a column of table with the
+    number of df's rows, which is dropped; without it they are counted.
     """
-    names = [c for c in table.columns if c not in (key, rows)]
-    rest = table.where(F.col(rows) <= hot_rows).select(F.col(key).alias("_k"), F.struct(*names, F.lit(True).alias("_there")).alias("_cold"))
-    if table.where(F.col(rows) > hot_rows).isEmpty():
-        out = df.withColumn("_hot", F.lit(None).cast(rest.schema["_cold"].dataType)).join(rest, F.col(key) == F.col("_k"), "left")
-    else:
-        hot = table.where(F.col(rows) > hot_rows).select(F.col(key).alias("_h"), F.struct(*names, F.lit(True).alias("_there")).alias("_hot"))
-        out = df.join(F.broadcast(hot), F.col(key) == F.col("_h"), "left").drop("_h")
-        own = -1 - F.pmod(F.xxhash64(*[c for c in df.columns]), F.lit(1 << 62))
-        out = out.withColumn("_deal", F.when(F.col("_hot").isNotNull(), own).otherwise(F.col(key))).join(rest, F.col("_deal") == F.col("_k"), "left").drop("_deal")
-    if how == "inner":
-        out = out.where("_hot._there OR _cold._there")
-    return out.select(*df.columns, *[F.coalesce(F.col(f"_hot.{c}"), F.col(f"_cold.{c}")).alias(c) for c in names])
+    values = table.drop(rows) if rows else table
+    marked = within(values)
+    if marked is not values:
+        return df.join(marked, key, how)
+    counts = table.select(key, F.col(rows).alias("_rows")) if rows else df.groupBy(key).agg(F.count("*").alias("_rows"))
+    hot = counts.where(F.col("_rows") > hot_rows).select(key, F.ceil(F.col("_rows") / hot_rows).cast("int").alias("_parts"))
+    if hot.isEmpty():
+        return df.join(values, key, how)
+    hot = within(hot)  # at most df's rows / hot_rows
+    left = df.join(hot, key, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(*df.columns), F.col("_parts")), F.lit(0)).cast("int")).drop("_parts")
+    right = values.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts") - 1, F.lit(0))))).drop("_parts")
+    return left.join(right, [key, "_part"], how).drop("_part")
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hostweave.llm.common import BROADCAST_KEYS, WHITESPACE, Workspace, keyed, within
+from hostweave.llm.common import WHITESPACE, Workspace, keyed, within
 
 KEY_BITS = 60
 #: Slots of a bucket.
@@ -90,14 +90,11 @@ def exact_dedup(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     chained = indexed.where("rows > 1")
     best = F.struct((-F.length("text").cast("long")).alias("n"), F.col("doc_id").isNull().alias("o"), F.col("doc_id").alias("id"))
     again = base.select(best.alias("best"), normalise("text").alias("norm")).withColumn("key", key_of(F.sha2("norm", 256)))
-    if chained.count() <= BROADCAST_KEYS:
-        again = again.join(F.broadcast(chained.select("key", "bucket")), "key")
-    else:
-        again = keyed(again, chained, "key", "rows", "inner")
+    again = keyed(again, chained, "key", "rows")
     chains = ws.put(owned_chains(again).select("key", F.sha2("norm", 256).alias("sha"), "best", "n"), "chains")
 
     heads = chains.where("n > 1").groupBy("key").agg(F.collect_list(F.struct("sha", "best", "n")).alias("heads")).join(slots, "key")  # a key has one text, or a few that collide
-    found = keyed(entries, heads, "key", "rows").withColumn("head", F.filter("heads", lambda h: h["sha"] == F.col("text_sha256"))[0])
+    found = keyed(entries, heads, "key", "rows", "left").withColumn("head", F.filter("heads", lambda h: h["sha"] == F.col("text_sha256"))[0])
     first = (F.col("n_chars") == -F.col("head.best.n")) & F.col("doc_id").eqNullSafe(F.col("head.best.id"))
     found = ws.put(found.select("doc_id", "text_sha256", "tag", "head", F.coalesce(first, F.lit(False)).alias("first")), "found")
     # where rows repeat the best id and length of a group, the one that was written first is kept

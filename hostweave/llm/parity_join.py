@@ -10,11 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hostweave.llm import kernels as K
-from hostweave.llm.common import Workspace, semi, small_batches
+from hostweave.llm.common import Workspace, keyed, semi, small_batches
 from hostweave.llm.components import components
 
 #: Words of the compact sketch that prunes candidates by Hamming distance, of 64 bits each.
 SKETCH_WORDS = 8
+#: Leaves of one hub that one task compares with it.
+LEAVES = 128
 _U = np.uint64
 
 
@@ -106,21 +108,20 @@ def verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, threshold: t
     p, q = threshold
     c = classes.select("cid", "n_shingles", "sketch")
     for side in ("u", "v"):
-        pairs = pairs.join(c.withColumnsRenamed({"cid": side, "n_shingles": f"n_{side}", "sketch": f"k_{side}"}), side)
+        pairs = keyed(pairs, c.withColumnsRenamed({"cid": side, "n_shingles": f"n_{side}", "sketch": f"k_{side}"}), side)
     differ = sum((F.bit_count(F.col("k_u")[i].bitwiseXOR(F.col("k_v")[i])) for i in range(1, SKETCH_WORDS)), F.bit_count(F.col("k_u")[0].bitwiseXOR(F.col("k_v")[0])))
     near = pairs.where((q * F.least("n_u", "n_v") >= p * F.greatest("n_u", "n_v")) & (differ * (q + p) <= (q - p) * (F.col("n_u") + F.col("n_v")))).drop("k_u", "k_v")
     for side in ("u", "v"):
-        near = near.join(sets.withColumnsRenamed({"cid": side, "members": f"m_{side}"}), side)
+        near = keyed(near, sets.withColumnsRenamed({"cid": side, "members": f"m_{side}"}), side)
     common = F.size(F.array_intersect("m_u", "m_v"))
     return near.where(common * q >= (F.col("n_u") + F.col("n_v") - common) * p).select("u", "v")
 
 
-def _with_hubs(buckets: DataFrame) -> DataFrame:
-    """(key, cid) with each bucket's hub: the class that shares most buckets with most classes, then the smallest. That is a text which others were copied from rather than one of its copies."""
-    sizes = buckets.groupBy("key").agg(F.count("*").alias("n"))
-    degrees = buckets.join(sizes, "key").groupBy("cid").agg(F.sum("n").alias("degree"))
-    hubs = buckets.join(degrees, "cid").groupBy("key").agg(F.min(F.struct(-F.col("degree"), F.col("cid").alias("cid")))["cid"].alias("hub"))
-    return buckets.join(hubs, "key")
+def _with_hubs(buckets: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(key, cid) with each bucket's hub: the class that shares most buckets with most classes, then the smallest. That is a text which others were copied from rather than one of its copies. sizes: (key, n)."""
+    degrees = keyed(buckets, sizes.withColumn("rows", F.col("n")), "key", "rows").groupBy("cid").agg(F.sum("n").alias("degree"))
+    hubs = buckets.join(degrees, "cid").groupBy("key").agg(F.min(F.struct(-F.col("degree"), F.col("cid").alias("cid")))["cid"].alias("hub"), F.count("*").alias("rows"))
+    return keyed(buckets, hubs, "key", "rows")
 
 
 def across_components(leaves: DataFrame, classes: DataFrame, sets: DataFrame, threshold: tuple[int, int], ws: Workspace) -> tuple[DataFrame, DataFrame]:
@@ -137,13 +138,14 @@ def across_components(leaves: DataFrame, classes: DataFrame, sets: DataFrame, th
     """
     p, q = threshold
     # a hub was compared with each of its leaves; only hubs with two leaves or more have other pairs
-    several = leaves.groupBy("hub").agg(F.count("*").alias("_n")).where("_n > 2").select("hub")
-    leaves = ws.put(leaves.join(several, "hub", "left_semi"), "several")
+    several = ws.put(leaves.groupBy("hub").agg(F.count("*").alias("leaves")).where("leaves > 2"), "hubs")
+    leaves = ws.put(keyed(leaves, several, "hub", "leaves"), "several")
     involved = leaves.select("cid").distinct()
     known = ws.put(classes.select("cid", F.col("n_shingles").alias("n")).join(involved, "cid", "left_semi").join(sets, "cid"), "known")
-    hubs = leaves.where("cid = hub").select("hub", F.col("root").alias("hub_root"))
+    hubs = leaves.where("cid = hub").select("hub", F.col("root").alias("hub_root")).join(several, "hub")
     hubs = hubs.join(known.withColumnsRenamed({"cid": "hub", "n": "n_hub", "members": "center"}), "hub")
-    mine = leaves.join(known, "cid").join(hubs, "hub")
+    # the leaves of a hub that has many meet it in parts, not in one task
+    mine = keyed(keyed(leaves, known, "cid"), ws.put(hubs, "centers"), "hub", "leaves", hot_rows=LEAVES)
     mine = mine.withColumn("d", F.concat(F.array_except("members", "center"), F.array_except("center", "members"))).drop("members", "center")
     mine = mine.withColumn("e", ((q + p) * F.size("d") - (q - p) * F.col("n")).cast("long"))
     reach = (q - p) * F.col("n_hub")
@@ -154,10 +156,11 @@ def across_components(leaves: DataFrame, classes: DataFrame, sets: DataFrame, th
     ws.release()
     least = mine.groupBy("hub").agg(F.min(F.struct("e", "cid")).alias("first"), *[F.min(F.when(F.col("class") == k, F.col("e"))).alias(f"e{k}") for k in range(5)])
     least = ws.put(least, "least")
-    joined = mine.drop("d").join(least.select("hub", "first"), "hub")
+    least = least.join(several, "hub")
+    joined = keyed(mine.drop("d"), least.select("hub", "first", "leaves"), "hub", "leaves", hot_rows=LEAVES)
     near = joined.where((F.col("e") + F.col("first.e") <= 0) & (F.col("cid") != F.col("first.cid"))).select(F.col("first.cid").alias("u"), F.col("cid").alias("v"))
 
-    with_least = mine.join(least.drop("first"), "hub")
+    with_least = keyed(mine, least.drop("first"), "hub", "leaves", hot_rows=LEAVES)
 
     def prefix(k: int) -> Column:
         """How many of its rarest members a leaf must show to partners whose smallest e is that of class k; none if there are no partners."""
@@ -167,7 +170,10 @@ def across_components(leaves: DataFrame, classes: DataFrame, sets: DataFrame, th
     shown = F.when(F.col("class") == 0, F.array(*[prefix(k) for k in range(5)])).otherwise(F.array(prefix(0)))
     mine = with_least.withColumn("shown", shown).where(F.array_max("shown") > 0)
     each = mine.select("hub", "cid", F.size("d").alias("size"), F.array_max("shown").alias("most"), F.explode("d").alias("member"))
-    each = each.withColumn("often", F.count("*").over(Window.partitionBy("hub", "member"))).where("often > 1")
+    # a member's number is that of its hash with the hub: where two members collide both seem more frequent to all leaves
+    each = ws.put(each.withColumn("place_of", F.xxhash64("hub", "member")), "each")
+    counts = each.groupBy("place_of").agg(F.count("*").alias("often")).where("often > 1")
+    each = keyed(each, ws.put(counts.withColumn("rows", F.col("often")), "often"), "place_of", "rows", hot_rows=LEAVES).drop("place_of")
     # members that one leaf alone has come first in that leaf's order, and meet nothing
     own = Window.partitionBy("hub", "cid")
     spread = each.withColumn("place", F.col("size") - F.count("*").over(own) + F.row_number().over(own.orderBy("often", "member")))
@@ -202,17 +208,19 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, threshold: tuple[int,
     ws = Workspace(spark, "parity")
     schema = "doc_id {}, n_shingles long, cid long, sketch array<long>, keys array<long>".format(docs.schema["doc_id"].dataType.simpleString())
     signed = ws.put(docs.select("doc_id", "text").mapInArrow(_signatures(shingle, threshold), schema), "signed")
+    # of each class one array of keys at the map side, so a text's copies don't repeat its keys
     some = signed.where("n_shingles > 0")
-    classes = ws.put(some.groupBy("cid").agg(F.min("doc_id").alias("least"), F.count("*").alias("class_size"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "classes")
+    classes = ws.put(some.groupBy("cid").agg(F.min("doc_id").alias("least"), F.count("*").alias("class_size"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")), "classes")
 
-    bucket = Window.partitionBy("key")
-    keyed = some.select("cid", F.explode("keys").alias("key"))
-    shared = keyed.withColumn("low", F.min("cid").over(bucket)).withColumn("high", F.max("cid").over(bucket)).where("low != high")
-    shared = ws.put(_with_hubs(ws.put(shared.select("key", "cid").distinct(), "buckets")), "shared")
+    each_key = classes.select("cid", F.explode("keys").alias("key"))
+    sizes = ws.put(each_key.groupBy("key").agg(F.count("*").alias("n"), F.min("cid").alias("low"), F.max("cid").alias("high")).where("low != high").select("key", "n"), "sizes")
+    buckets = ws.put(keyed(each_key, sizes, "key", "n"), "buckets")
+    shared = ws.put(_with_hubs(buckets, sizes), "shared")
+    ws.drop("buckets")
     involved = ws.put(shared.select("cid").distinct(), "involved")
     # the sets of classes that are in any bucket, from one document of each class
-    readers = ws.put(signed.where("n_shingles > 0").join(involved, "cid", "left_semi").select("cid", "doc_id"), "readers")
-    texts = semi(docs.select("doc_id", "text"), readers.select("doc_id").distinct(), "doc_id", null_safe=True)
+    readers = ws.put(classes.join(involved, "cid", "left_semi").select("least").distinct().withColumnRenamed("least", "doc_id"), "readers")
+    texts = semi(docs.select("doc_id", "text"), readers, "doc_id", null_safe=True)
     sets = texts.select("text").mapInArrow(_sets(shingle), "cid long, members array<long>").where(F.size("members") > 0)
     sets = ws.put(sets.groupBy("cid").agg(F.first("members").alias("members")), "sets")
 
@@ -221,9 +229,10 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, threshold: tuple[int,
     links = ws.put(verified(stars, classes, sets, threshold), "links")
     ws.release()
     roots = components(links, ws, "near")
-    placed = shared.join(roots, shared["cid"] == roots["id"], "left").select("key", "hub", "cid", F.coalesce("root", "cid").alias("root"))
-    split = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("key")
-    leaves = ws.put(placed.join(split, "key", "left_semi").select("hub", "cid", "root").distinct(), "leaves")
+    placed = ws.put(shared.join(roots, shared["cid"] == roots["id"], "left").select("key", "hub", "cid", F.coalesce("root", "cid").alias("root")), "placed")
+    split = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n")).where("a != b").select("key", "n")
+    leaves = ws.put(keyed(placed, ws.put(split, "split"), "key", "n").select("hub", "cid", "root").distinct(), "leaves")
+    ws.drop("placed")
     near, across = across_components(leaves, classes, sets, threshold, ws)
     across = ws.put(across, "across")
     more = ws.put(verified(across.join(stars, ["u", "v"], "left_anti"), classes, sets, threshold), "more")
