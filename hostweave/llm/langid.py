@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,30 +20,46 @@ FEATURES, MOST = 1 << 15, 3
 SAMPLE = 3000
 #: Passes over the sample; follow-the-regularised-leader's rate, smoothing, and elastic-net penalties.
 EPOCHS, ALPHA, BETA, L1, L2 = 2, 0.5, 1.0, 0.02, 0.05
-LETTER = re.compile(r"[^\W\d_]")
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], dtype=np.uint32)
 
 
-def grams(text: str) -> np.ndarray:
-    """Feature of every character n-gram position of the whole text; what isn't a letter is one edge character."""
-    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    ascii_other = (points < 97) | ((points > 122) & (points < 192))
-    points = np.where(ascii_other, np.uint32(32), points)
-    keep = np.ones(len(points), dtype=bool)
-    keep[1:] = (points[1:] != 32) | (points[:-1] != 32)
-    points = np.concatenate([[np.uint32(32)], points[keep], [np.uint32(32)]]).astype(np.uint32)
-    out, h = [], np.zeros(len(points), dtype=np.uint32)
-    for k in range(MOST):
-        h = (h[: len(points) - k] + points[k:]) * _MULTIPLIERS[k]
-        h ^= h >> np.uint32(15)
-        out.append(h % np.uint32(FEATURES))
-    return np.concatenate(out).astype(np.int64)
-
-
-def blocks(text: str, size: int = 1 << 20) -> Iterator[np.ndarray]:
-    """grams of a text block by block, so that a very long text needs bounded memory. Blocks overlap by MOST - 1."""
+#: Characters of a text that are hashed at once.
+BLOCK = 1 << 20
+
+
+def has_letter(text: str) -> bool:
+    """Whether any character is of a letter category; numerals such as a roman or circled one aren't."""
+    return any(map(str.isalpha, text))
+
+
+def blocks(text: str, size: int = BLOCK) -> Iterator[np.ndarray]:
+    """Feature of every character n-gram position of the whole text; runs of what isn't a letter are one edge character.
+
+    A long text comes in blocks, for bounded memory. A block begins with the last characters of the one before, and only
+    n-grams that end in it are counted, so blocks together give what the text as one gives.
+    """
+    text = text.lower()
+    tail = np.array([32], dtype=np.uint32)  # the edge before the first character
+    fresh = 0  # characters of tail whose n-grams were counted
     for at in range(0, max(1, len(text)), size):
-        yield grams(text[at : at + size + MOST - 1] if at else text[: size + MOST - 1])
+        points = np.frombuffer(text[at : at + size].encode("utf-32-le", "surrogatepass"), np.uint32)
+        points = np.where((points < 97) | ((points > 122) & (points < 192)), np.uint32(32), points)
+        if at + size >= len(text):
+            points = np.append(points, np.uint32(32))
+        keep = (points != 32) | (np.concatenate([tail[-1:], points[:-1]]) != 32)
+        points = np.concatenate([tail, points[keep]]).astype(np.uint32)
+        out, h = [], np.zeros(len(points), dtype=np.uint32)
+        for k in range(MOST):
+            h = (h[: len(points) - k] + points[k:]) * _MULTIPLIERS[k]
+            h ^= h >> np.uint32(15)
+            out.append((h % np.uint32(FEATURES))[max(0, fresh - k) :])
+        yield np.concatenate(out).astype(np.int64)
+        tail = points[1 - MOST :]
+        fresh = len(tail)
+
+
+def grams(text: str) -> np.ndarray:
+    return np.concatenate(list(blocks(text)))
 
 
 @dataclass
@@ -67,7 +82,7 @@ class Model:
         self.scaled = (self.weights * self.idf[:, None]).astype(np.float32)
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if text is None or not self.languages or not LETTER.search(text):
+        if text is None or not self.languages or not has_letter(text):
             return "und", 0.0
         z = self.logits(text)
         e = np.exp(z - z.max())
@@ -75,14 +90,20 @@ class Model:
         return self.languages[best], float(e[best] / e.sum())
 
 
-def train(rows: list[tuple[str, str]], languages: list[str], idf: np.ndarray, seed: int = 5) -> Model:
-    """Per-coordinate FTRL-proximal on the softmax loss; a fifth of the rows is kept out for the temperature."""
+def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct features of a text and how often each occurs."""
+    total = np.zeros(FEATURES, dtype=np.int64)
+    for g in blocks(text):
+        total += np.bincount(g, minlength=FEATURES)
+    ids = np.flatnonzero(total)
+    return ids, total[ids]
+
+
+def train(rows: list[tuple[np.ndarray, np.ndarray, str]], languages: list[str], idf: np.ndarray, seed: int = 5) -> Model:
+    """rows: features, their counts, language. Per-coordinate FTRL-proximal on the softmax loss; a fifth of the rows is kept out for the temperature."""
     n = len(languages)
     rng = np.random.default_rng(seed)
-    examples = []
-    for text, lang in rows:
-        ids, counts = np.unique(np.concatenate(list(blocks(text))), return_counts=True)
-        examples.append((ids, (counts / counts.sum() * idf[ids]).astype(np.float64), languages.index(lang)))
+    examples = [(ids, (counts / counts.sum() * idf[ids]).astype(np.float64), languages.index(lang)) for ids, counts, lang in rows]
     order = rng.permutation(len(examples))
     kept_out, fitted = order[: len(order) // 5], order[len(order) // 5 :]
     z, q, bias = np.zeros((FEATURES, n)), np.zeros((FEATURES, n)), np.zeros(n)
@@ -135,11 +156,20 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.append(ids, FEATURES).astype(np.int32)), pa.array(np.append(seen[ids], n))], names=["feature", "documents"])
 
 
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From text, lang: the distinct features and counts instead of the text."""
+    for batch in batches:
+        found = [counted(x.as_py()) for x in batch.column(0)]
+        lists = [pa.array([x[i] for x in found], pa.list_(pa.int64())) for i in (0, 1)]
+        yield pa.RecordBatch.from_arrays([*lists, batch.column(1)], names=["ids", "counts", "lang"])
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Learns from rows whose lang and text aren't null and whose crc32(doc_id) mod 3 isn't 1.
 
     Document frequencies count all of them; the classifier is fitted on an expected `sample` of them, spread evenly over
-    the languages and drawn by a hash of doc_id and text length.
+    the languages and drawn by a hash of doc_id and text length. The driver gets their distinct features, at most
+    FEATURES a row, and no texts.
     """
     small_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text", "lang").where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -155,8 +185,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     idf = np.log((1 + n) / (1 + frequency)) + 1
     rates = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(1.0, sample / len(languages) / counts[k])))])
     drawn = rows.where(unit(F.lit(11), "doc_id", F.length("text")) < rates[F.col("lang")])
-    picked = sorted(((r.doc_id is None, r.doc_id or 0, r.text, r.lang) for r in drawn.collect()))
-    return train([(text, lang) for _, _, text, lang in picked], languages, idf)
+    picked = drawn.select("text", "lang").mapInArrow(_counts, "ids array<long>, counts array<long>, lang string").collect()
+    picked = sorted(((r.lang, r.ids, r.counts) for r in picked))  # an order that is the texts' own
+    return train([(np.array(ids), np.array(counts), lang) for lang, ids, counts in picked], languages, idf)
 
 
 def predict_column(model: Model, text: str = "text") -> Column:
