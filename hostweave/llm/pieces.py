@@ -20,8 +20,8 @@ MARK = "▁"
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 #: A character without a piece costs this much more than the worst piece (then its bytes are emitted).
 UNKNOWN_PENALTY = 10.0
-#: Segments that a worker remembers before it forgets them all.
-REMEMBERED = 400_000
+#: Segments that a worker remembers before it forgets them all, and the bytes beyond which it remembers none. Longer ones are segmented one by one, BLOCK start bytes at a time.
+REMEMBERED, LONG, BLOCK = 400_000, 256, 1 << 16
 #: Runs of spaces go with the word that follows, as pieces have the marker in front only. New lines and marker characters stand alone.
 SEGMENT = re.compile(rf" *[^ \n{MARK}]+|\n|{MARK}| +")
 
@@ -87,6 +87,62 @@ class Vocabulary:
     def byte_fallback(self, raw: bytes) -> list[int]:
         return [self.byte_ids[b] for b in raw.replace(MARK.encode(), b" ")]
 
+    def _matches(self, text: np.ndarray, begin: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end and id of every piece that begins at a byte of begin..end, by start: one step of the trie for all of them at once."""
+        base, check, value = self.trie.base, self.trie.check, self.trie.value
+        at, state, j = np.arange(begin, end), np.zeros(end - begin, dtype=np.int64), 0
+        found = []
+        while len(at):
+            inside = at + j < len(text)
+            at, state = at[inside], state[inside]
+            go = base[state] + text[at + j]
+            ok = check[go] == state
+            at, state, j = at[ok], go[ok].astype(np.int64), j + 1
+            hit = value[state] >= 0
+            found.append((at[hit], at[hit] + j, value[state[hit]]))
+        starts, ends, ids = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((ends, starts))
+        return starts[order], ends[order], ids[order]
+
+    def segment_long(self, segment: str) -> np.ndarray:
+        """Viterbi over one long segment: the pieces of a block of start bytes are looked up together, and then the scores run over them."""
+        raw = segment.replace(" ", MARK).encode()
+        text, n = np.frombuffer(raw, np.uint8), len(raw)
+        best, back, piece = array("d", [-math.inf]) * (n + 1), array("q", [-1]) * (n + 1), array("i", [-1]) * (n + 1)
+        best[0] = 0.0
+        widths = 1 + (text >= 0xC0).astype(np.int64) + (text >= 0xE0) + (text >= 0xF0)
+        for a in range(0, n, BLOCK):
+            b = min(n, a + BLOCK)
+            starts, ends, ids = self._matches(text, a, b)
+            ranges = np.searchsorted(starts, np.arange(a, b + 1)).tolist()
+            scores, ends, ids, width = self.scores[ids].tolist(), ends.tolist(), ids.tolist(), widths[a:b].tolist()
+            for i in range(a, b):
+                here = best[i]
+                if here == -math.inf:
+                    continue
+                single = i + width[i - a]
+                whole = False
+                for k in range(ranges[i - a], ranges[i - a + 1]):
+                    to, score = ends[k], here + scores[k]
+                    whole = whole or to == single
+                    if score > best[to]:
+                        best[to], back[to], piece[to] = score, i, ids[k]
+                if not whole and here + self.unknown > best[single]:
+                    best[single], back[single], piece[single] = here + self.unknown, i, -1
+        return np.array(self._walk(raw, back, piece), dtype=np.int32)
+
+    def _walk(self, raw: bytes, back, piece) -> list[int]:
+        """The ids of the best path, followed from the end."""
+        at, found = len(raw), []
+        while at:
+            if piece[at] >= 0:
+                found.append(piece[at])
+            else:
+                found += reversed(self.byte_fallback(raw[back[at] : at]))
+            at = back[at]
+        found.reverse()
+        return found
+
     def learn(self, segments: Iterable[str]) -> None:
         """Viterbi over many segments at once: one step for each start byte and piece length."""
         segments = sorted(segments, key=len)
@@ -133,15 +189,7 @@ class Vocabulary:
                 r, to = r[better], to[better]
                 best[r, to], back[r, to], piece[r, to] = score[better], i, -1
         for s, x, since, ids in zip(segments, raw, back.tolist(), piece.tolist(), strict=True):
-            at, found = len(x), []
-            while at:
-                if ids[at] >= 0:
-                    found.append(ids[at])
-                else:
-                    found += reversed(self.byte_fallback(x[since[at] : at]))
-                at = since[at]
-            found.reverse()
-            self.memory[s] = array("i", found).tobytes()
+            self.memory[s] = array("i", self._walk(x, since, ids)).tobytes()
 
     def encode_many(self, texts: Iterable[str], together: int = 1 << 20) -> Iterator[np.ndarray]:
         """Ids of each text; new segments of about `together` characters of texts are segmented in one go."""
@@ -157,19 +205,23 @@ class Vocabulary:
     def _flush(self, waiting: list[list[str]]) -> Iterator[np.ndarray]:
         memory = self.memory
         every = set().union(*waiting)
+        long = {s: self.segment_long(s).tobytes() for s in every if len(s) > LONG}
+        every.difference_update(long)
         if len(memory) + len(every) > REMEMBERED:
             memory.clear()
         # the marker character itself isn't a space
         memory[MARK] = array("i", [self.byte_ids[b] for b in MARK.encode()]).tobytes()
         self.learn(every.difference(memory))
         for segments in waiting:
-            yield np.frombuffer(b"".join(map(memory.__getitem__, segments)), np.int32)
+            yield np.frombuffer(b"".join([memory[s] if len(s) <= LONG else long[s] for s in segments]) if long else b"".join(map(memory.__getitem__, segments)), np.int32)
 
     def encode(self, text: str) -> np.ndarray:
         return next(self.encode_many([text]))
 
     def decode(self, ids: np.ndarray) -> str:
-        return b"".join(map(self.pieces.__getitem__, ids.tolist())).decode()
+        """The text of ids. An id that the vocabulary lacks, and bytes that aren't UTF-8 (of cut ids), become U+FFFD."""
+        n = len(self.pieces)
+        return b"".join([self.pieces[i] if 0 <= i < n else b"\xff" for i in ids.tolist()]).decode("utf-8", "replace")
 
 
 def load(path: str = MODEL_FILE) -> Vocabulary:
@@ -227,12 +279,12 @@ def encode(docs: DataFrame, path: str = MODEL_FILE) -> DataFrame:
 
 
 def decode(encoded: DataFrame, path: str = MODEL_FILE) -> DataFrame:
-    """doc_id and text of a table with doc_id and ids; null ids are an empty text."""
+    """doc_id and text of a table with doc_id and ids. Null or no ids are an empty text; a null id, one that the vocabulary lacks, and bytes that aren't UTF-8 become U+FFFD."""
     vocabulary = broadcast(encoded.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [vocabulary.value.decode(np.array(x or [], dtype=np.int32)) for x in batch.column(1).to_pylist()]
+            texts = [vocabulary.value.decode(np.array([-1 if i is None else i for i in x or []], dtype=np.int32)) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     small_batches(encoded.sparkSession)
