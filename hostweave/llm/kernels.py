@@ -55,8 +55,8 @@ def utf8_chunks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]
         at = to
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words (bytes that aren't in `space`, by default `[^\\x20\\x09-\\x0D]+`) after lower-casing A-Z, and the place in them at which each text begins (one more entry than texts)."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE, prefix: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words (bytes that aren't in `space`, by default `[^\\x20\\x09-\\x0D]+`) after lower-casing A-Z, and the place in them at which each text begins (one more entry than texts). With prefix, hashes of at most that many first bytes of each."""
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     inside = ~space[data]
@@ -68,6 +68,8 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE
     after = np.empty(len(data), dtype=bool)
     after[-1], after[:-1] = False, inside[1:]
     ends = np.flatnonzero(inside & (~after | first[1:])) + 1
+    if prefix:
+        ends = np.minimum(ends, starts + prefix)
     total = np.empty(len(data) + 1, dtype=np.uint64)
     total[0] = 0
     np.cumsum(BYTE_VALUES[LOWER[data]] * powers("up", BASE, len(data)), out=total[1:])

@@ -244,3 +244,19 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, threshold: tuple[int,
     out = signed.select("doc_id", "n_shingles", "cid").join(ws.put(members, "members"), "cid", "left")
     empty = F.col("n_shingles") == 0
     return out.select("doc_id", "n_shingles", F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(empty, F.lit(1)).otherwise(F.col("class_size")).cast("long").alias("class_size"))
+
+
+#: DuckDB twin of the query: all pairs that share a shingle, by counting, and all that a document reaches.
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM documents
+), s AS (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(ws) >= 4 THEN list_transform(range(1, len(ws) - 2), i -> array_to_string(ws[i:i + 3], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END)) AS members FROM w
+), e AS (SELECT doc_id, unnest(members) AS m, len(members) AS n FROM s),
+links AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM e a JOIN e b ON a.m = b.m AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY 1, 2 HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))
+), reach(a, b) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.a, l.v FROM reach r JOIN links l ON l.u = r.b),
+roots AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1)
+SELECT doc_id, len(members)::BIGINT AS n_shingles, component_id, CASE WHEN len(members) = 0 THEN 1 ELSE count(*) OVER (PARTITION BY members) END AS class_size FROM s JOIN roots USING (doc_id)
+"""

@@ -62,4 +62,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_sharding, op2_parity_join, op3_sentencepiece, op4_chroma, op5_pii, op6_language_id, op7_secrets, op8_exact_dedup, op9_pivotal_mixing, op10_toxicity)
 }
-ORACLES: dict[str, str] = {"op1_sharding": compaction.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op1_sharding": compaction.ORACLE, "op2_parity_join": parity_join.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE}
