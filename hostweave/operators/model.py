@@ -36,14 +36,18 @@ class Fitted:
 def train_and_eval(train: DataFrame, evaluation: DataFrame, features: list[str], *, model: str = "gbt", seed: int = 0, params: dict | None = None, single_partition: bool = False) -> Fitted:
     """Fits on train (label, features) with balanced weights and scores evaluation (label, features, ...) once.
 
-    The scaler of the logistic model sees train only. single_partition sorts the training rows into one partition, which
-    makes a subsampled GBT repeat bit by bit; it is for training sets that fit one executor.
+    The scaler of the logistic model sees train only. Rows are dealt to partitions by their values and sorted there, so
+    that a subsampled GBT repeats for the same rows and number of partitions; single_partition makes it repeat whatever
+    that number is, for training sets that fit one executor.
     """
     if model not in MODELS:
-        raise ValueError(f"unknown model {model!r}; expected one of {MODELS}")
+        raise ValueError(f"no detector is named {model!r}; there are {' and '.join(MODELS)}")
     rows = balanced_weights(train).withColumn("label", F.col("label").cast("double"))
     if single_partition:
         rows = rows.coalesce(1).sortWithinPartitions("label", *features)
+    elif model == "gbt":
+        parts = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows = rows.repartition(parts, F.xxhash64("label", *features)).sortWithinPartitions("label", *features)
     if model == "gbt":
         stages = [VectorAssembler(inputCols=features, outputCol="features"), GBTClassifier(weightCol="weight", seed=seed, **(params or GBT))]
     else:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 
 from hostweave import schema
 from hostweave.schema import AUTH_COLS, AUTH_SCHEMA, DAY, LABEL_COLS, REDTEAM_SCHEMA
+from hostweave.sources.shared import read_text, write_text
 
 EPOCH = f"timestamp_ntz'{schema.EPOCH}'"
 
@@ -73,12 +73,15 @@ def load(spark: SparkSession, root: str, name: str, arm: str | None = None) -> D
     return spark.read.parquet(f"{root}/{name}" + (f"/arm={arm}" if arm else ""))
 
 
-def save_json(value: object, path: str) -> None:
-    """A small report, whole or not at all."""
-    part = f"{path}.part"
-    with open(part, "w") as f:
-        json.dump(value, f, indent=2, sort_keys=True, default=str)
-    os.replace(part, path)
+def save_json(value: object, path: str, spark: SparkSession | None = None) -> None:
+    """A small report, whole or not at all, on any file system that the session knows."""
+    write_text(spark or SparkSession.active(), path, json.dumps(value, indent=2, sort_keys=True, default=str))
+
+
+def load_json(spark: SparkSession, path: str) -> object | None:
+    """What save_json wrote, None where there is no file."""
+    text = read_text(spark, path)
+    return None if text is None else json.loads(text)
 
 
 @dataclass
