@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hostweave.llm import exact_dedup, langid, mixing, parity_join, pieces
@@ -12,17 +12,25 @@ from hostweave.llm.common import Workspace, semi, small_batches, within
 LEAST_SCORE = 0.5
 
 
+def _whole(docs: DataFrame) -> Column:
+    """A row in one column, so that no name of ours clashes with the table's."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is predicted with some confidence."""
+    """Keeps documents whose language is predicted with some confidence.
+
+    Null, empty and letterless texts have no language and go; where nothing can be learned (no lang at all, an empty table)
+    all go. Repeated rows share one decision.
+    """
     model = langid.fit(docs)
     small_batches(spark)
-    p = langid.predict_column(model)
-    columns = docs.columns
-    return docs.withColumn("_lid", p).where((F.col("_lid.lang_pred") != "und") & (F.col("_lid.score") >= LEAST_SCORE)).select(*columns)
+    found = docs.select(_whole(docs), langid.predict_column(model).alias("found"))
+    return found.where((F.col("found.lang_pred") != "und") & (F.col("found.score") >= LEAST_SCORE)).select("row.*")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each group of equal texts, also where rows repeat a doc_id."""
+    """Keeps one row of each group of equal texts, also where rows repeat a doc_id. Null and empty texts are one group; an empty table stays empty."""
     ws = Workspace(spark, "pipeline-exact")
     groups = ws.put(exact_dedup.exact_dedup(docs).select("doc_id", "text_sha256", "kept"), "groups")
     ids = groups.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.col("kept").cast("int")).alias("k"))
@@ -31,30 +39,37 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     repeated = ids.where("n > 1 AND k > 0")
     if repeated.isEmpty():
         return rest
-    stays = groups.where("kept").select(F.col("doc_id").alias("_d"), F.col("text_sha256").alias("_h")).distinct()
-    again = semi(docs, repeated, "doc_id", null_safe=True).withColumn("_sha", F.sha2(exact_dedup.normalise("text"), 256))
-    again = again.join(stays, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_sha") == F.col("_h"))).withColumn("_n", F.length("text"))
-    longest = Window.partitionBy("_d", "_h").orderBy(F.col("_n").desc_nulls_last(), F.xxhash64("text"))
-    return rest.unionByName(again.withColumn("_r", F.row_number().over(longest)).where("_r = 1").select(*docs.columns))
+    stays = groups.where("kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha")).distinct()
+    again = semi(docs, repeated, "doc_id", null_safe=True)
+    again = again.select(_whole(again), F.col("doc_id").alias("of"), F.sha2(exact_dedup.normalise("text"), 256).alias("hash"), F.length("text").alias("n_chars"), F.xxhash64("text").alias("tie"))
+    again = again.join(stays, F.col("of").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("sha")))
+    longest = Window.partitionBy("id", "sha").orderBy(F.col("n_chars").desc_nulls_last(), "tie")
+    return rest.unionByName(again.withColumn("place", F.row_number().over(longest)).where("place = 1").select("row.*"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each component of near duplicates (5 words, 0.8). Documents without words stay, and so do all rows of a doc_id of which one stays."""
+    """Keeps the smallest doc_id of each component of near duplicates (5 words, 0.8). Documents without words stay, and so do all rows of a doc_id of which one stays. An empty table stays empty."""
     ws = Workspace(spark, "pipeline-near")
     found = parity_join.jaccard_components(docs).groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"))
     return semi(docs, ws.put(found.where("NOT stays"), "goes"), "doc_id", null_safe=True, how="left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats each document as often as the mix takes it."""
+    """Repeats each document as often as the mix takes it.
+
+    Texts without words weigh nothing and go. A null source is a source, and a null doc_id an id; rows that repeat a
+    doc_id, source and number of words are repeated alike. An empty table stays empty.
+    """
     ws = Workspace(spark, "pipeline-mix")
     mixed = mixing.mix_sources(docs).where(F.col("copies") > 0)
-    copies = ws.put(mixed.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("copies").cast("int").alias("_c")).distinct(), "copies")
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (mixing.words("text") == F.col("_z"))
-    return docs.join(within(copies), same).withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_c")))).select(*docs.columns)
+    copies = ws.put(mixed.select(F.col("doc_id").alias("id"), "source", "size", F.col("copies").cast("int").alias("copies")).distinct(), "copies")
+    rows = docs.select(_whole(docs), mixing.words("text").alias("n_words"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("id")) & F.col("row.source").eqNullSafe(F.col("source")) & (F.col("n_words") == F.col("size"))
+    return rows.join(within(copies), same).select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of every document, repeats included: doc_id, ids, n_tokens, round_trip. A null or empty text has no ids; an empty table gives an empty result."""
     return pieces.encode(docs)
 
 
