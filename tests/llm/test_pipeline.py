@@ -42,3 +42,16 @@ def test_repeated_and_odd_rows(spark):
     assert C.near(spark, kept, "").count() == 33 and C.mix(spark, kept, "").columns == docs.columns
     for _, stage in C.STAGES:
         assert stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_clashing_names(spark):
+    rows = [(i % 25, f"the of and ing {i % 20} word and some more of it", "en", "s", i) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    names = ["row", "found", "id", "sha", "hash", "place", "size", "copies", "kept", "keep_id", "n", "k", "key", "cid", "_k", "_c", "_part", "_lid", "tag", "component_id", "n_words", "a.b"]
+    more = docs.selectExpr("*", *[f"'{n}' AS `{n}`" for n in names])
+    for name, stage in C.STAGES[:-1]:
+        out = stage(spark, more, "")
+        assert out.columns == more.columns, name
+        plain = stage(spark, docs, "")
+        assert Counter(map(str, out.select(*docs.columns).collect())) == Counter(map(str, plain.collect())), name
+    assert C.encode(spark, more, "").count() == 30
