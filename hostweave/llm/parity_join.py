@@ -180,13 +180,17 @@ def across_components(leaves: DataFrame, classes: DataFrame, sets: DataFrame, th
     spread = spread.where("place <= most").select("hub", "cid", "member", "place")
     about = mine.select("hub", "cid", "root", "n", "e", "class", F.size("d").alias("d"), "shown")
     spread = ws.put(spread.join(about, ["hub", "cid"]), "spread")
+    near = ws.put(near, "near")
+    for name in ("each", "often", "centers", "known", "differences"):
+        ws.drop(name)
+    ws.release()
     columns = ("cid", "root", "n", "e", "class", "d", "shown", "place")
     x, y = (spread.where(c).select("hub", "member", *[F.col(k).alias(f"{k}_{side}") for k in columns]) for side, c in (("x", "class = 0"), ("y", "true")))
     possible = (F.col("root_x") != F.col("root_y")) & (F.col("e_x") + F.col("e_y") <= 2 * (q + p) * F.least("d_x", "d_y")) & (q * F.least("n_x", "n_y") >= p * F.greatest("n_x", "n_y"))
     # class 0 shows as much to each class as that class's smallest e asks for, the others show what class 0 asks for
     shows = (F.col("place_x") <= F.get("shown_x", F.col("class_y"))) & (F.col("place_y") <= F.col("shown_y")[0]) & ((F.col("class_y") > 0) | (F.col("cid_x") < F.col("cid_y")))
     pairs = x.join(y, ["hub", "member"]).where(possible & shows)
-    return ws.put(near, "near"), pairs.select(F.least("cid_x", "cid_y").alias("u"), F.greatest("cid_x", "cid_y").alias("v")).distinct()
+    return near, pairs.select(F.least("cid_x", "cid_y").alias("u"), F.greatest("cid_x", "cid_y").alias("v")).distinct()
 
 
 def jaccard_components(docs: DataFrame, shingle: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
@@ -208,13 +212,19 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, threshold: tuple[int,
     ws = Workspace(spark, "parity")
     schema = "doc_id {}, n_shingles long, cid long, sketch array<long>, keys array<long>".format(docs.schema["doc_id"].dataType.simpleString())
     signed = ws.put(docs.select("doc_id", "text").mapInArrow(_signatures(shingle, threshold), schema), "signed")
-    # of each class one array of keys at the map side, so a text's copies don't repeat its keys
     some = signed.where("n_shingles > 0")
-    classes = ws.put(some.groupBy("cid").agg(F.min("doc_id").alias("least"), F.count("*").alias("class_size"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")), "classes")
+    classes = ws.put(some.groupBy("cid").agg(F.min("doc_id").alias("least"), F.count("*").alias("class_size"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "classes")
+    ids = ws.put(signed.select("doc_id", "n_shingles", "cid"), "ids")
+    # of each class one array of keys at the map side, so a text's copies don't repeat its keys
+    keys = ws.put(some.groupBy("cid").agg(F.first("keys").alias("keys")), "keys")
+    ws.drop("signed")
+    ws.release()
 
-    each_key = classes.select("cid", F.explode("keys").alias("key"))
+    each_key = keys.select("cid", F.explode("keys").alias("key"))
     sizes = ws.put(each_key.groupBy("key").agg(F.count("*").alias("n"), F.min("cid").alias("low"), F.max("cid").alias("high")).where("low != high").select("key", "n"), "sizes")
     buckets = ws.put(keyed(each_key, sizes, "key", "n"), "buckets")
+    ws.drop("keys")
+    ws.release()
     shared = ws.put(_with_hubs(buckets, sizes), "shared")
     ws.drop("buckets")
     involved = ws.put(shared.select("cid").distinct(), "involved")
@@ -241,7 +251,7 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, threshold: tuple[int,
     members = classes.join(roots, classes["cid"] == roots["id"], "left").select("cid", "least", "class_size", F.coalesce("root", "cid").alias("root"))
     smallest = members.groupBy("root").agg(F.min("least").alias("component_id"))
     members = members.join(smallest, "root").select("cid", "class_size", "component_id")
-    out = signed.select("doc_id", "n_shingles", "cid").join(ws.put(members, "members"), "cid", "left")
+    out = ids.join(ws.put(members, "members"), "cid", "left")
     empty = F.col("n_shingles") == 0
     return out.select("doc_id", "n_shingles", F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(empty, F.lit(1)).otherwise(F.col("class_size")).cast("long").alias("class_size"))
 
