@@ -251,7 +251,7 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, threshold: tuple[int,
     members = classes.join(roots, classes["cid"] == roots["id"], "left").select("cid", "least", "class_size", F.coalesce("root", "cid").alias("root"))
     smallest = members.groupBy("root").agg(F.min("least").alias("component_id"))
     members = members.join(smallest, "root").select("cid", "class_size", "component_id")
-    out = ids.join(ws.put(members, "members"), "cid", "left")
+    out = keyed(ids, ws.put(members, "members"), "cid", how="left")
     empty = F.col("n_shingles") == 0
     return out.select("doc_id", "n_shingles", F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(empty, F.lit(1)).otherwise(F.col("class_size")).cast("long").alias("class_size"))
 
