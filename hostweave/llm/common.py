@@ -101,18 +101,20 @@ def semi(df: DataFrame, keys: DataFrame, on: str, null_safe: bool = False, how:
     return df.join(within(keys, bound), same, how)
 
 
-def keyed(df: DataFrame, table: DataFrame, key: str, rows: str | None = None, how: str = "inner", hot_rows: int = HOT_ROWS) -> DataFrame:
+def keyed(df: DataFrame, table: DataFrame, key: str, rows: str | None = None, how: str = "inner", hot_rows: int = HOT_ROWS, counts: DataFrame | None = None) -> DataFrame:
     """df joined on key with table, which has a key once; how is inner or left. Rows of a hot key are dealt over several tasks.
 
     A small table is broadcast. Else the rows of a key that df has more than hot_rows times are dealt by their hash into
     parts of about that size, and the table's row is repeated for each part. `rows` names a column of table with the
-    number of df's rows, which is dropped; without it they are counted.
+    number of df's rows, which is dropped; counts is a table of key and _rows; without either they are counted. Both
+    tables are read more than once, so they should be written ones.
     """
     values = table.drop(rows) if rows else table
     marked = within(values)
     if marked is not values:
         return df.join(marked, key, how)
-    counts = table.select(key, F.col(rows).alias("_rows")) if rows else df.groupBy(key).agg(F.count("*").alias("_rows"))
+    if counts is None:
+        counts = table.select(key, F.col(rows).alias("_rows")) if rows else df.groupBy(key).agg(F.count("*").alias("_rows"))
     hot = counts.where(F.col("_rows") > hot_rows).select(key, F.ceil(F.col("_rows") / hot_rows).cast("int").alias("_parts"))
     if hot.isEmpty():
         return df.join(values, key, how)

@@ -107,21 +107,23 @@ def verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, threshold: t
     """Of the pairs (u, v) of classes those at or above the threshold: by size, by Hamming distance, then by counting."""
     p, q = threshold
     c = classes.select("cid", "n_shingles", "sketch")
+    # pairs is a written table; a class that very many pairs have is dealt by their number in it all along
+    counts = {side: pairs.groupBy(side).agg(F.count("*").alias("_rows")) for side in ("u", "v")}
     for side in ("u", "v"):
-        pairs = keyed(pairs, c.withColumnsRenamed({"cid": side, "n_shingles": f"n_{side}", "sketch": f"k_{side}"}), side)
+        pairs = keyed(pairs, c.withColumnsRenamed({"cid": side, "n_shingles": f"n_{side}", "sketch": f"k_{side}"}), side, counts=counts[side])
     differ = sum((F.bit_count(F.col("k_u")[i].bitwiseXOR(F.col("k_v")[i])) for i in range(1, SKETCH_WORDS)), F.bit_count(F.col("k_u")[0].bitwiseXOR(F.col("k_v")[0])))
     near = pairs.where((q * F.least("n_u", "n_v") >= p * F.greatest("n_u", "n_v")) & (differ * (q + p) <= (q - p) * (F.col("n_u") + F.col("n_v")))).drop("k_u", "k_v")
     for side in ("u", "v"):
-        near = keyed(near, sets.withColumnsRenamed({"cid": side, "members": f"m_{side}"}), side)
+        near = keyed(near, sets.withColumnsRenamed({"cid": side, "members": f"m_{side}"}), side, counts=counts[side])
     common = F.size(F.array_intersect("m_u", "m_v"))
     return near.where(common * q >= (F.col("n_u") + F.col("n_v") - common) * p).select("u", "v")
 
 
-def _with_hubs(buckets: DataFrame, sizes: DataFrame) -> DataFrame:
+def _with_hubs(buckets: DataFrame, sizes: DataFrame, ws: Workspace) -> DataFrame:
     """(key, cid) with each bucket's hub: the class that shares most buckets with most classes, then the smallest. That is a text which others were copied from rather than one of its copies. sizes: (key, n)."""
     degrees = keyed(buckets, sizes.withColumn("rows", F.col("n")), "key", "rows").groupBy("cid").agg(F.sum("n").alias("degree"))
     hubs = buckets.join(degrees, "cid").groupBy("key").agg(F.min(F.struct(-F.col("degree"), F.col("cid").alias("cid")))["cid"].alias("hub"), F.count("*").alias("rows"))
-    return keyed(buckets, hubs, "key", "rows")
+    return keyed(buckets, ws.put(hubs, "hubs-of-keys"), "key", "rows")
 
 
 def across_components(leaves: DataFrame, classes: DataFrame, sets: DataFrame, threshold: tuple[int, int], ws: Workspace) -> tuple[DataFrame, DataFrame]:
@@ -145,7 +147,7 @@ def across_components(leaves: DataFrame, classes: DataFrame, sets: DataFrame, th
     hubs = leaves.where("cid = hub").select("hub", F.col("root").alias("hub_root")).join(several, "hub")
     hubs = hubs.join(known.withColumnsRenamed({"cid": "hub", "n": "n_hub", "members": "center"}), "hub")
     # the leaves of a hub that has many meet it in parts, not in one task
-    mine = keyed(keyed(leaves, known, "cid"), ws.put(hubs, "centers"), "hub", "leaves", hot_rows=LEAVES)
+    mine = keyed(leaves.join(known, "cid"), ws.put(hubs, "centers"), "hub", "leaves", hot_rows=LEAVES)
     mine = mine.withColumn("d", F.concat(F.array_except("members", "center"), F.array_except("center", "members"))).drop("members", "center")
     mine = mine.withColumn("e", ((q + p) * F.size("d") - (q - p) * F.col("n")).cast("long"))
     reach = (q - p) * F.col("n_hub")
@@ -156,7 +158,7 @@ def across_components(leaves: DataFrame, classes: DataFrame, sets: DataFrame, th
     ws.release()
     least = mine.groupBy("hub").agg(F.min(F.struct("e", "cid")).alias("first"), *[F.min(F.when(F.col("class") == k, F.col("e"))).alias(f"e{k}") for k in range(5)])
     least = ws.put(least, "least")
-    least = least.join(several, "hub")
+    least = ws.put(least.join(several, "hub"), "least-leaves")
     joined = keyed(mine.drop("d"), least.select("hub", "first", "leaves"), "hub", "leaves", hot_rows=LEAVES)
     near = joined.where((F.col("e") + F.col("first.e") <= 0) & (F.col("cid") != F.col("first.cid"))).select(F.col("first.cid").alias("u"), F.col("cid").alias("v"))
 
@@ -225,7 +227,7 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, threshold: tuple[int,
     buckets = ws.put(keyed(each_key, sizes, "key", "n"), "buckets")
     ws.drop("keys")
     ws.release()
-    shared = ws.put(_with_hubs(buckets, sizes), "shared")
+    shared = ws.put(_with_hubs(buckets, sizes, ws), "shared")
     ws.drop("buckets")
     involved = ws.put(shared.select("cid").distinct(), "involved")
     # the sets of classes that are in any bucket, from one document of each class
@@ -245,7 +247,8 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, threshold: tuple[int,
     ws.drop("placed")
     near, across = across_components(leaves, classes, sets, threshold, ws)
     across = ws.put(across, "across")
-    more = ws.put(verified(across.join(stars, ["u", "v"], "left_anti"), classes, sets, threshold), "more")
+    fresh = ws.put(across.join(stars, ["u", "v"], "left_anti"), "fresh")
+    more = ws.put(verified(fresh, classes, sets, threshold), "more")
     # every pair across components that could be a link has now been compared, so these links complete the graph
     roots = components(links.unionByName(more).unionByName(near), ws, "all")
     members = classes.join(roots, classes["cid"] == roots["id"], "left").select("cid", "least", "class_size", F.coalesce("root", "cid").alias("root"))
