@@ -119,11 +119,11 @@ def verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, threshold: t
     return near.where(common * q >= (F.col("n_u") + F.col("n_v") - common) * p).select("u", "v")
 
 
-def _with_hubs(buckets: DataFrame, sizes: DataFrame, ws: Workspace) -> DataFrame:
-    """(key, cid) with each bucket's hub: the class that shares most buckets with most classes, then the smallest. That is a text which others were copied from rather than one of its copies. sizes: (key, n)."""
-    degrees = keyed(buckets, sizes.withColumn("rows", F.col("n")), "key", "rows").groupBy("cid").agg(F.sum("n").alias("degree"))
-    hubs = buckets.join(degrees, "cid").groupBy("key").agg(F.min(F.struct(-F.col("degree"), F.col("cid").alias("cid")))["cid"].alias("hub"), F.count("*").alias("rows"))
-    return keyed(buckets, ws.put(hubs, "hubs-of-keys"), "key", "rows")
+def _with_hubs(buckets: DataFrame, ws: Workspace) -> DataFrame:
+    """(key, cid) with each bucket's hub: the class that shares most buckets with most classes, then the smallest. That is a text which others were copied from rather than one of its copies. buckets: (key, cid, n), n the key's classes."""
+    degrees = buckets.groupBy("cid").agg(F.sum("n").alias("degree"))
+    hubs = buckets.join(degrees, "cid").groupBy("key").agg(F.min(F.struct(-F.col("degree"), F.col("cid").alias("cid")))["cid"].alias("hub"), F.first("n").alias("rows"))
+    return keyed(buckets.drop("n"), ws.put(hubs, "hubs-of-keys"), "key", "rows")
 
 
 def across_components(leaves: DataFrame, classes: DataFrame, sets: DataFrame, threshold: tuple[int, int], ws: Workspace) -> tuple[DataFrame, DataFrame]:
@@ -222,12 +222,13 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, threshold: tuple[int,
     ws.drop("signed")
     ws.release()
 
-    each_key = keys.select("cid", F.explode("keys").alias("key"))
-    sizes = ws.put(each_key.groupBy("key").agg(F.count("*").alias("n"), F.min("cid").alias("low"), F.max("cid").alias("high")).where("low != high").select("key", "n"), "sizes")
-    buckets = ws.put(keyed(each_key, sizes, "key", "n"), "buckets")
+    # one shuffle of the keys; a key's rows are the classes that have it, whatever their number of copies
+    of_key = Window.partitionBy("key")
+    each_key = keys.select("cid", F.explode("keys").alias("key")).withColumns({"n": F.count("*").over(of_key), "low": F.min("cid").over(of_key), "high": F.max("cid").over(of_key)})
+    buckets = ws.put(each_key.where("low != high").select("key", "cid", "n"), "buckets")
     ws.drop("keys")
     ws.release()
-    shared = ws.put(_with_hubs(buckets, sizes, ws), "shared")
+    shared = ws.put(_with_hubs(buckets, ws), "shared")
     ws.drop("buckets")
     involved = ws.put(shared.select("cid").distinct(), "involved")
     # the sets of classes that are in any bucket, from one document of each class
