@@ -125,7 +125,9 @@ def overlay_histogram(values: DataFrame, bins: int = 25, log: bool = False, valu
     v = F.ln(F.greatest(x, F.lit(1.0))) if log else x
     span = values.agg(F.min(v).alias("lo"), F.max(v).alias("hi")).withColumn("hi", F.when(F.col("hi") > F.col("lo"), F.col("hi")).otherwise(F.col("lo") + 1))
     binned = values.join(F.broadcast(span)).withColumn("bin", bin_of(v, F.col("lo"), F.col("hi"), bins))
-    edge = lambda k: F.exp(F.col("lo") + (F.col("hi") - F.col("lo")) * k / bins) if log else F.col("lo") + (F.col("hi") - F.col("lo")) * k / bins
+    edge = lambda k: F.exp(F.col("lo") + (F.col("hi") - F.col("lo")) * k / bins)
+    # equal widths aren't taken from edges, whose last bits differ from bin to bin and turn ties of a later rounding
+    area = F.col("total") * (edge(F.col("bin") + 1) - edge(F.col("bin"))) if log else F.col("total") * (F.col("hi") - F.col("lo")) / bins
     counts = binned.groupBy(side, "bin").agg(F.count("*").alias("n"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
     totals = F.broadcast(counts.groupBy(side).agg(F.sum("n").alias("total")))
-    return counts.join(totals, side).select(side, "bin", "n", (F.col("n") / (F.col("total") * (edge(F.col("bin") + 1) - edge(F.col("bin"))))).alias("density"))
+    return counts.join(totals, side).select(side, "bin", "n", (F.col("n") / area).alias("density"))

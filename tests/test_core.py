@@ -155,6 +155,13 @@ def test_metrics(spark):
     assert all(r.cum_n == r.v + 1 for r in metrics.running_totals(big, "v", ["n"]).collect())
 
 
+def test_equal_bins_of_a_histogram_have_one_width(spark):
+    # 8 / 25 is no binary fraction, so edges that are added up differ in their last bits; 1317 / 3200 is a tie at 6 digits
+    v = spark.range(10000).select(F.when(F.col("id") < 1317, 1).when(F.col("id") < 2634, 7).otherwise(9).alias("value"), F.lit(0).alias("side"))
+    got = {r.bin: r.density for r in metrics.overlay_histogram(v).select("bin", F.round("density", 6).alias("density")).collect()}
+    assert got == {0: 0.411563, 18: 0.411563, 24: 2.301875}
+
+
 def test_novelty(spark):
     S = "campaign_id long, src_computer string, dst_computer string"
     synth = spark.createDataFrame([(0, "A", "B"), (0, "A", "C"), (1, "A", "C"), (1, "A", "D")], S)
