@@ -17,6 +17,8 @@ from hostweave.llm.components import components
 SKETCH_WORDS = 8
 #: Leaves of one hub that one task compares with it.
 LEAVES = 128
+#: Leaves of a hub, and members of all their sets, up to which one task compares the leaves with each other.
+GROUP_LEAVES, GROUP_MEMBERS = 2048, 1_000_000
 _U = np.uint64
 
 
@@ -126,9 +128,59 @@ def _with_hubs(buckets: DataFrame, ws: Workspace) -> DataFrame:
     return keyed(buckets.drop("n"), ws.put(hubs, "hubs-of-keys"), "key", "rows")
 
 
+def links_within(hub: int, cids: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], threshold: tuple[int, int]) -> list[tuple[int, int]]:
+    """Of one hub's leaves, links that join all components that any link between two of them joins; those with the hub itself were looked for before. By size, by Hamming distance, then by counting."""
+    p, q = threshold
+    n = np.array([len(x) for x in sets], dtype=np.int64)
+    sketches = np.stack([compact_sketch(x) for x in sets])
+    group, found = np.unique(roots, return_inverse=True)[1], []
+    for i in np.flatnonzero(cids != hub):
+        j = i + 1 + np.flatnonzero((group[i + 1 :] != group[i]) & (cids[i + 1 :] != hub))
+        j = j[q * np.minimum(n[j], n[i]) >= p * np.maximum(n[j], n[i])]
+        differ = np.bitwise_count(sketches[j] ^ sketches[i]).sum(axis=1, dtype=np.int64)
+        for k in j[differ * (q + p) <= (q - p) * (n[j] + n[i])]:
+            if group[k] == group[i]:
+                continue
+            common = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
+            if common * q >= (n[i] + n[k] - common) * p:
+                found.append((int(cids[i]), int(cids[k])))
+                group[group == group[k]] = group[i]
+    return found
+
+
+def _within(threshold: tuple[int, int]):
+    """From (hub, cid, root, members), a hub's rows together: the links (u, v) of links_within."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # rows of the last hub so far, which may go on
+
+        def links() -> pa.RecordBatch:
+            cids, roots = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in (1, 2))
+            sets = [x.values.to_numpy().view(np.uint64) for b in held for x in b.column(3)]
+            found = links_within(held[0].column(0)[0].as_py(), cids, roots, sets, threshold)
+            return pa.RecordBatch.from_arrays([pa.array([min(x) for x in found], pa.int64()), pa.array([max(x) for x in found], pa.int64())], names=["u", "v"])
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            hub = batch.column(0).to_numpy()
+            starts = [0, *(np.flatnonzero(hub[1:] != hub[:-1]) + 1).tolist(), len(hub)]
+            for a, b in zip(starts[:-1], starts[1:], strict=True):
+                if held and held[0].column(0)[0].as_py() != hub[a]:
+                    yield links()
+                    held = []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield links()
+
+    return run
+
+
 def across_components(leaves: DataFrame, classes: DataFrame, sets: DataFrame, threshold: tuple[int, int], ws: Workspace) -> tuple[DataFrame, DataFrame]:
     """leaves: (hub, cid, root), the classes of buckets that lie in several components. Returns links, and candidate pairs, that together join all components that any link within a hub's leaves joins.
 
+    The leaves of a hub that has few are compared in one task. For the other hubs, however large, there is another exact way:
+
     Let D be a leaf's symmetric difference with its hub and E = (q + p) |D| - (q - p) n, with n its size. Of two leaves,
     |x xor y| = |Dx| + |Dy| - 2 |Dx and Dy|, so they link just when Ex + Ey <= 2 (q + p) |Dx and Dy|.
     Where Ex + Ey <= 0 they link whatever D holds. All such leaves link with the leaf of the smallest E, so those links do.
@@ -140,10 +192,17 @@ def across_components(leaves: DataFrame, classes: DataFrame, sets: DataFrame, th
     """
     p, q = threshold
     # a hub was compared with each of its leaves; only hubs with two leaves or more have other pairs
-    several = ws.put(leaves.groupBy("hub").agg(F.count("*").alias("leaves")).where("leaves > 2"), "hubs")
-    leaves = ws.put(keyed(leaves, several, "hub", "leaves"), "several")
+    sized = keyed(leaves, classes.select("cid", F.col("n_shingles").alias("n")), "cid")
+    several = ws.put(sized.groupBy("hub").agg(F.count("*").alias("leaves"), F.sum("n").alias("members")).where("leaves > 2"), "hubs")
+    leaves = ws.put(keyed(leaves, several.withColumn("few", (F.col("leaves") <= GROUP_LEAVES) & (F.col("members") <= GROUP_MEMBERS)).drop("members"), "hub", "leaves"), "several")
     involved = leaves.select("cid").distinct()
     known = ws.put(classes.select("cid", F.col("n_shingles").alias("n")).join(involved, "cid", "left_semi").join(sets, "cid"), "known")
+    few = leaves.where("few").select("hub", "cid", "root").join(known.drop("n"), "cid").select("hub", "cid", "root", "members")
+    few = ws.put(few.repartition("hub").sortWithinPartitions("hub").mapInArrow(_within(threshold), "u long, v long"), "within")
+    ws.release()
+    leaves, several = leaves.where("NOT few").drop("few"), several.drop("members")
+    if leaves.isEmpty():
+        return few, few.limit(0)
     hubs = leaves.where("cid = hub").select("hub", F.col("root").alias("hub_root")).join(several, "hub")
     hubs = hubs.join(known.withColumnsRenamed({"cid": "hub", "n": "n_hub", "members": "center"}), "hub")
     # the leaves of a hub that has many meet it in parts, not in one task
@@ -192,7 +251,7 @@ def across_components(leaves: DataFrame, classes: DataFrame, sets: DataFrame, th
     # class 0 shows as much to each class as that class's smallest e asks for, the others show what class 0 asks for
     shows = (F.col("place_x") <= F.get("shown_x", F.col("class_y"))) & (F.col("place_y") <= F.col("shown_y")[0]) & ((F.col("class_y") > 0) | (F.col("cid_x") < F.col("cid_y")))
     pairs = x.join(y, ["hub", "member"]).where(possible & shows)
-    return near, pairs.select(F.least("cid_x", "cid_y").alias("u"), F.greatest("cid_x", "cid_y").alias("v")).distinct()
+    return near.unionByName(few), pairs.select(F.least("cid_x", "cid_y").alias("u"), F.greatest("cid_x", "cid_y").alias("v")).distinct()
 
 
 def jaccard_components(docs: DataFrame, shingle: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
@@ -248,8 +307,9 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, threshold: tuple[int,
     ws.drop("placed")
     near, across = across_components(leaves, classes, sets, threshold, ws)
     across = ws.put(across, "across")
+    ws.release()
     fresh = ws.put(across.join(stars, ["u", "v"], "left_anti"), "fresh")
-    more = ws.put(verified(fresh, classes, sets, threshold), "more")
+    more = fresh.select("u", "v") if fresh.isEmpty() else ws.put(verified(fresh, classes, sets, threshold), "more")
     # every pair across components that could be a link has now been compared, so these links complete the graph
     roots = components(links.unionByName(more).unionByName(near), ws, "all")
     members = classes.join(roots, classes["cid"] == roots["id"], "left").select("cid", "least", "class_size", F.coalesce("root", "cid").alias("root"))

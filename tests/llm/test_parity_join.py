@@ -77,3 +77,30 @@ def test_keys_of_sets_within_the_threshold_meet():
         if common * 100 >= 85 * union:
             assert set(PJ.set_keys(np.sort(a), (85, 100))) & set(PJ.set_keys(np.sort(b), (85, 100)))
             assert np.unpackbits((PJ.compact_sketch(a) ^ PJ.compact_sketch(b)).view(np.uint8)).sum() <= gone + new
+
+
+@pytest.mark.parametrize("leaves", [0, 6, 2048])
+def test_leaves_of_a_hub_meet_in_one_task_or_by_members(spark, monkeypatch, leaves):
+    """Hubs of few leaves write no row for each member; the way for the rest finds the same."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for _ in range(12):
+        base = [f"w{x}" for x in rng.integers(0, 5000, 150)]
+        for _ in range(int(rng.integers(2, 6))):  # families of copies that link within, and not across
+            family = list(base)
+            at = int(rng.integers(0, 110))
+            family[at : at + 36] = [f"f{x}" for x in rng.integers(0, 10**6, 36)]
+            for _ in range(3):
+                copy = list(family)
+                copy[int(rng.integers(150))] = f"x{rng.integers(10**6)}"
+                rows.append((len(rows), " ".join(copy)))
+    put, written = PJ.Workspace.put, []
+    monkeypatch.setattr(PJ.Workspace, "put", lambda ws, df, name: written.append(name) or put(ws, df, name))
+    monkeypatch.setattr(PJ, "GROUP_LEAVES", leaves)
+    docs = spark.createDataFrame([(i, x, None, None, None) for i, x in rows], SCHEMA)
+    assert got(PJ.jaccard_components(docs, 4, (80, 100))) == brute(rows, 4, (80, 100))
+    assert "within" in written and ("each" in written) == (leaves < 2048)
+    sets = [np.array(x, np.uint64) for x in (range(100), range(5, 105), range(10, 110), range(900, 1000))]
+    cids = np.array([4, 5, 6, 7])
+    assert PJ.links_within(4, cids, cids, sets, (80, 100)) == [(5, 6)] and PJ.links_within(0, cids, cids, sets, (80, 100)) == [(4, 5), (4, 6)]
+    assert PJ.links_within(4, cids, np.array([1, 2, 2, 3]), sets, (80, 100)) == []
