@@ -94,6 +94,44 @@ def test_the_number_of_partners_named_at_first_changes_no_result(spark, monkeypa
     assert len(want) > 40 and got == first
 
 
+def joined_by(links, names):
+    """By name: the smallest one that links reach."""
+    root = {n: n for n in names}
+    while True:
+        new = dict(root)
+        for a, b in links:
+            new[a] = new[b] = min(new[a], new[b])
+        if new == root:
+            return root
+        root = new
+
+
+@pytest.mark.parametrize(("partners", "block", "part"), [(1, 4, 2), (4, 4096, 32), (2, 8, 8)])
+def test_every_voted_link_is_counted_and_joined(spark, monkeypatch, partners, block, part):
+    monkeypatch.setattr(chroma, "PARTNERS", partners)
+    monkeypatch.setattr(chroma, "BLOCK", block)
+    monkeypatch.setattr(chroma, "PART", part)  # small ones, so that components are dealt by pairs of parts
+    monkeypatch.setattr(chroma, "PARTS", 3)
+    monkeypatch.setattr(chroma, "INTS", 512)
+    docs = edited(spark).unionByName(spark.read.parquet(DOCS).selectExpr("doc_id + 1000 AS doc_id", "text"))
+    prints = prints_of(docs)
+    want = by_landmarks(prints)
+    links = {(k, m) for k, v in want.items() for m, _ in v}
+    roots = joined_by(links, [name for name, _ in prints])
+    got = {r.class_id: r for r in chroma.align(docs, AUDIO(), chroma.SHORT).where("doc_id = class_id AND n_ints > 0").collect()}
+    assert len(links) > len(want) and got.keys() == roots.keys()
+    assert {k: r.n_links for k, r in got.items()} == {k: sum(k in x for x in links) for k in roots}
+    assert {k: r.component_id for k, r in got.items()} == roots
+
+
+def test_links_to_two_classes_that_do_not_match_are_both_kept(spark):
+    texts = [r.text for r in spark.read.parquet(DOCS).where("length(text) > 1600 AND octet_length(text) = length(text)").orderBy("doc_id").limit(2).collect()]
+    a, b = (t[:1504] for t in texts)
+    docs = spark.createDataFrame([(1, a), (2, b), (3, a + "x" * 320 + b)], "doc_id long, text string")
+    got = {r.doc_id: (r.match_id, r.component_id, r.n_links) for r in chroma.align(docs, AUDIO(), chroma.SHORT).collect()}
+    assert got == {1: (None, 1, 1), 2: (None, 1, 1), 3: (1, 1, 2)}
+
+
 def rows_made(spark, since, words):
     """Rows that joins whose description has the words made in all executions after the first `since`."""
     store, total = spark._jsparkSession.sharedState().statusStore(), 0
