@@ -1,3 +1,4 @@
+import re
 import struct
 
 import numpy as np
@@ -156,6 +157,63 @@ def test_a_candidate_is_made_once(spark):
     assert rows_made(spark, since, "n_leader") == 30 * 29 // 2
 
 
+def bytes_shuffled(spark, since):
+    """Bytes that all executions after the first `since` wrote to shuffles."""
+    store, total = spark._jsparkSession.sharedState().statusStore(), 0.0
+    list_of = spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava
+    for run in list(list_of(store.executionsList()))[since:]:
+        values = list_of(store.executionMetrics(run.executionId()))
+        for node in list_of(store.planGraph(run.executionId()).allNodes()):
+            for m in list_of(node.metrics()):
+                if m.name() == "shuffle bytes written" and m.accumulatorId() in values:
+                    number, unit = re.search(r"([\d.,]+) ([KMG]?i?B)", values[m.accumulatorId()]).groups()
+                    total += float(number.replace(",", "")) * 1024 ** ["B", "KiB", "MiB", "GiB"].index(unit)
+    return total
+
+
+@pytest.fixture
+def long_prints(spark):
+    """Prints of 70 classes and their bytes; each is longer than what compression of a shuffle looks back on. Only tables that the code marks are broadcast."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    rng = np.random.default_rng(6)
+    rows = [(k, 20_000, rng.integers(0, 2**32, 20_000, dtype=np.uint32).tobytes()) for k in range(70)]
+    yield chroma.Workspace(spark, "test").put(spark.createDataFrame(rows, "num long, n int, fp binary"), "prints"), 70 * 80_000
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_recording_is_not_sent_for_each_of_its_candidates(spark, long_prints):
+    prints, size = long_prints
+    ws = chroma.Workspace(spark, "test")
+    found = spark.createDataFrame([(k, j, 0, None, None, None) for k in range(70) for j in range(min(k, 9))], chroma.VOTES)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    since = spark._jsparkSession.sharedState().statusStore().executionsCount()
+    assert {r.num: sorted(r.leaders) for r in chroma.first_of(found, prints, 1.0, ws, "first").collect()} == {k: list(range(min(k, 9))) for k in range(1, 70)}
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    assert 0.9 * size < bytes_shuffled(spark, since) < 3 * size  # each of 585 candidates alone would be 8 times
+
+
+def test_a_component_that_one_task_compares_is_sent_once(spark, long_prints):
+    prints, size = long_prints
+    ws = chroma.Workspace(spark, "test")
+    members = ws.put(prints.select("num", F.lit(0).cast("long").alias("root")), "members")
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    since = spark._jsparkSession.sharedState().statusStore().executionsCount()
+    assert chroma.links_within(members, prints, 0.125, ws).count() == 0
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    assert 0.9 * size < bytes_shuffled(spark, since) < 1.5 * size
+
+
+@pytest.mark.parametrize("n", [0, 1, 16, 1000])
+def test_packed_integers_come_back(n):
+    rng = np.random.default_rng(n)
+    alike = np.bitwise_xor.accumulate(np.packbits(rng.random((n, 32)) < 0.13, axis=1).view("<u4").ravel()) if n else np.zeros(0, "<u4")
+    for fp in (alike, rng.integers(0, 2**32, n, dtype=np.uint32), np.zeros(n, "<u4"), np.full(n, 2**32 - 1, "<u4")):
+        back = chroma.unpacked(chroma.packed(fp))
+        assert back.dtype == "<u4" and back.tolist() == fp.tolist()
+    assert n < 1000 or len(chroma.packed(alike)) < 0.65 * 4 * n
+
+
 def test_bits_are_counted_as_32(spark):
     a = np.random.default_rng(1).integers(0, 2**32, 40, dtype=np.uint32)
     b = a ^ np.uint32(1 << 31)  # the highest bit of every integer differs
